@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, fingerprints, mixing, packing, quality, sharding, warc
+from quire.llm import chat, fingerprints, mixing, ngram_join, packing, quality, sharding, toxicity, warc
 from quire.llm.common import table
 
+def _toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
+
+
 QUERIES = {
+    "op1_ngram_jaccard_join": lambda spark, d: ngram_join.ngram_jaccard_join(table(spark, d, "documents")),
     "op2_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents"), mixing.WEIGHTS),
     "op3_quality_rules": lambda spark, d: quality.clean_lines(table(spark, d, "documents")),
     "op4_sharding": lambda spark, d: sharding.shard(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op6_warc": lambda spark, d: warc.resolve(warc.captures(table(spark, d, "pages"))),
     "op8_fingerprints": lambda spark, d: fingerprints.fingerprints(table(spark, d, "documents")),
+    "op9_toxicity": _toxicity,
     "op10_chat": lambda spark, d: chat.expand(table(spark, d, "conversations")),
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": ngram_join.ngram_jaccard_join_sql(),
     "op2_mixing": mixing.mix_sql(mixing.WEIGHTS),
     "op3_quality_rules": quality.clean_lines_sql(),
     "op5_packing": packing.pack_sql(),

@@ -24,8 +24,8 @@ def powers(n: int) -> np.ndarray:
     """The first n powers of the odd multiplier, modulo 2**64."""
     global _POWERS
     while len(_POWERS) < n:
-        step = _POWERS[-1] * _ODD
-        _POWERS = np.concatenate([_POWERS, _POWERS * step])
+        with np.errstate(over="ignore"):
+            _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1] * _ODD)])
     return _POWERS[:n]
 
 
