@@ -1,19 +1,38 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written
-as Parquet to the shared folder and read again as the docs of the next stage.
+as Parquet to the shared folder and read again as the docs of the next stage. All but the
+last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import mixing, packing
+from quire.llm import mixing, ngram_join, packing, suffix_dedup, toxicity
 from quire.llm.common import materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labels, doesn't reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.select(*COLUMNS).where(~toxicity.is_toxic(model, F.col("text")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of similar ones; rows without doc_id stay."""
+    redundant = ngram_join.redundant_ids(docs)
+    return docs.select(*COLUMNS).join(redundant, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier place has; documents with nothing left go."""
+    return suffix_dedup.remove_passages(docs, suffix_dedup.repeated_passages(docs))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask for."""
     return mixing.mixed_documents(docs, weights=mixing.WEIGHTS)
@@ -24,8 +43,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("mixing sources to target weights", mix), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", drop_repeated_passages),
+    ("mixing sources to target weights", mix),
+    ("packing", pack),
+]
 
+#: SQL can't express the trained model of the first stage; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, fingerprints, mixing, ngram_join, packing, quality, sharding, toxicity, warc
+from quire.llm import chat, fingerprints, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity, warc
 from quire.llm.common import table
 
 def _toxicity(spark, d):
@@ -17,6 +17,7 @@ QUERIES = {
     "op4_sharding": lambda spark, d: sharding.shard(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op6_warc": lambda spark, d: warc.resolve(warc.captures(table(spark, d, "pages"))),
+    "op7_suffix_array_dedup": lambda spark, d: suffix_dedup.passage_rows(suffix_dedup.repeated_passages(table(spark, d, "documents"))),
     "op8_fingerprints": lambda spark, d: fingerprints.fingerprints(table(spark, d, "documents")),
     "op9_toxicity": _toxicity,
     "op10_chat": lambda spark, d: chat.expand(table(spark, d, "conversations")),
@@ -28,6 +29,7 @@ ORACLES = {
     "op3_quality_rules": quality.clean_lines_sql(),
     "op5_packing": packing.pack_sql(),
     "op6_warc": warc.resolve_pages_sql(),
+    "op7_suffix_array_dedup": suffix_dedup.repeated_passages_sql(),
     "op8_fingerprints": fingerprints.fingerprints_sql(),
     "op10_chat": chat.expand_sql(),
 }
