@@ -140,3 +140,29 @@ def test_random_joins_match_brute_force(spark):
     rows = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     got = {(a, b) for r in rows for a in r.doc_ids for b in r.doc_ids if a < b}
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_crowds_of_near_copies_are_found(spark):
+    """A group larger than COMMON, all of whose grams are common: every pair that is similar is found."""
+    rng = random.Random(8)
+    base = [f"t{rng.randrange(3000)}" for _ in range(120)]
+    docs = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(1, 14)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10_000)}"
+        docs.append((i, " ".join(w)))
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in docs for w in [t.split()]}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 2 >= len(sets[a] | sets[b])}
+    rows = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {(a, b) for r in rows for a in r.doc_ids for b in r.doc_ids if a < b}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_large_labels_are_cut(spark, monkeypatch):
+    """Labels of more sets than a block holds give the same pairs."""
+    docs = [(i, " ".join(f"t{k}" for k in range(40)) + f" u{i}") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = sorted(r.doc_ids for r in ngram_join.ngram_jaccard_join(df).collect())
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    assert sorted(r.doc_ids for r in ngram_join.ngram_jaccard_join(df).collect()) == whole and len(whole) == 435
