@@ -10,15 +10,18 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-_FORMULA = re.compile(r"(?<!\\)\$(?:\\.|[^$])+(?<!\\)\$")
-_SPLIT = re.compile(r"\\([A-Za-z]+(?:\s+[A-Za-z]+)+)")
-_REPAIRS = [(re.compile(a), b) for a, b in ((r"(\\[A-Za-z]+)\s+\{", r"\1{"), (r"\\math\s*bb", r"\\mathbb"), (r"\\col\s*oneqq", r"\\coloneqq"), (r"\\eq\s*colon", r"\\eqcolon"), (r"\\(leq|geq)\s*slant", r"\\\1slant"), (r"\$\s+|\s+\$", "$"), (r"\{\s+", "{"), (r"\s+\}", "}"), (r"([\^_])\s+\{", r"\1{"))]
+_FORMULA = re.compile(r"(?<!\\)[$](?:[^$]|\\.)+(?<!\\)[$]")
+_SPLIT = re.compile(r"\\((?:[A-Za-z]+\s+)+[A-Za-z]+)")
+_REPAIRS = [(re.compile(a), b) for a, b in ((r"(\\[a-zA-Z]+)\s+(?=\{)", r"\1"), (r"\\(math|col|eq)\s*(bb|oneqq|colon)", r"\\\1\2"), (r"\\(leq|geq)\s*slant", r"\\\1slant"), (r"\$\s+|\s+\$", "$"), (r"\{\s+", "{"), (r"\s+\}", "}"), (r"([\^_])\s+\{", r"\1{"))]
 _ALONE = (
-    "Gamma Delta Theta Lambda Xi Pi Sigma Phi Psi Omega alpha beta gamma delta epsilon theta lambda mu nu pi rho sigma tau phi chi psi omega times leq geq neq in subset cup cap forall exists "
-    "infty sum prod int mid ldots geqslant leqslant to rightarrow leftarrow leftrightarrow backslash prime"
+    "alpha backslash beta cap chi cup Delta delta epsilon exists forall Gamma gamma geq geqslant in infty int Lambda lambda ldots leftarrow leftrightarrow "
+    "leq leqslant mid mu neq nu Omega omega Phi phi Pi pi prime prod Psi psi rho rightarrow Sigma sigma subset sum tau Theta theta times to Xi "
 ).split()
-_BEFORE_LETTER = [re.compile(rf"(\\{c})(?=[A-Za-z0-9])") for c in sorted(_ALONE, key=len, reverse=True)]
-_WRAPPERS = [re.compile(rf"\\begin\{{{e}\}}\s*(?:\{{[^{{}}]*\}})?\s*(.*?)\s*\\end\{{{e}\}}", re.DOTALL) for e in ("array", "aligned", "alignedat", "split", "gathered", "smallmatrix")]
+_COMMAND = re.compile(r"\\[a-zA-Z]+")
+_FRACTIONS = tuple(f"\\{c}" for c in "binom dfrac frac tfrac".split())
+_TALL = tuple(f"\\{c}" for c in "iiint iint int overset prod sqrt sum underset".split())
+_BEFORE_LETTER = [re.compile(rf"(\\{c})(?=[0-9A-Za-z])") for c in sorted(_ALONE, key=len, reverse=True)]
+_WRAPPERS = [re.compile(r"\\begin[{]ENV[}]\s*(?:[{][^{}]*[}]\s*)?(.*?)\s*\\end[{]ENV[}]".replace("ENV", e), re.DOTALL) for e in "aligned alignedat array gathered smallmatrix split".split()]
 
 
 def outer_braces(text: str | None) -> str:
@@ -72,11 +75,12 @@ def inline_box(formula: str, size: float, line_height: float) -> tuple[float, fl
     flat = re.sub(r"\s+", "", t)
     if not flat:
         return max(size * 0.8, 1.0), max(size * 1.05, 1.0)
-    shown = max(1, len(re.sub(r"[{}]", "", re.sub(r"\\[A-Za-z]+", "m", flat))))
-    fraction = any(c in t for c in ("\\frac", "\\dfrac", "\\tfrac", "\\binom"))
-    tall = fraction or any(c in t for c in ("\\sum", "\\prod", "\\int", "\\iint", "\\iiint", "\\sqrt", "\\overset", "\\underset"))
+    commands = _COMMAND.findall(t)
+    shown = max(1, len(_COMMAND.sub("m", flat).replace("{", "").replace("}", "")))
+    fraction = any(c in t for c in _FRACTIONS)
+    tall = fraction or any(c in t for c in _TALL)
     scripts = t.count("^") + t.count("_")
-    width = size * (shown * 0.46 + len(re.findall(r"\\[A-Za-z]+", t)) * 0.14 + min(scripts, 4) * 0.12) * (1.18 if fraction else 1.0)
+    width = size * (shown * 0.46 + len(commands) * 0.14 + min(scripts, 4) * 0.12) * (1.18 if fraction else 1.0)
     height = size * max(1.04, 1.12 + min(scripts, 3) * 0.08 if scripts else 0.0, 1.42 if tall else 0.0)
     return max(width, size * 0.8), max(height, line_height * 0.92, size)
 

@@ -10,12 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: An inline formula: from an unescaped dollar to the next one.
-FORMULA = r"(?<!\\)\$(?:\\.|[^$])+(?<!\\)\$"
-MARKER = r"\(?(?:\d+|[A-Za-z]|[ivxlcdmIVXLCDM]+)\)?[.)]?"
+FORMULA = r"(?<!\\)[$](?:[^$]|\\.)+(?<!\\)[$]"
+MARKER = r"[(]?(?:[a-zA-Z]|\d+)[)]?[).]?"
 #: Characters without any information: the complement of letters, digits and common signs.
-NO_INFORMATION = r"""[^\u4e00-\u9fffA-Za-z0-9=<>+\-*/\\|\[\]{}()^_~:;,.'"`$%&!?@#]"""
+NO_INFORMATION = r"""[^0-9a-zA-Z\u4e00-\u9fff#@?!&%$`"'.,;:~_^()}{\]\[|\\/*\-+<>=]"""
 CJK = r"[\u4e00-\u9fff]"
-THEOREM = r"(?i)\b(theorem|lemma|proof|corollary|proposition|definition|remark|example|claim)\b"
+WORD = "[0-9A-Za-z]+"
+THEOREM = r"(?i)\b(claim|corollary|definition|example|lemma|proof|proposition|remark|theorem)\b"
 
 
 def text_of(c: Column | str) -> Column:
@@ -60,7 +61,7 @@ def marker_count(c: Column | str) -> Column:
 def low_information(c: Column | str) -> Column:
     """Empty, two marks or more and nothing else, or brackets with next to nothing around them."""
     flat = squeeze(c)
-    rest = F.regexp_replace(flat, r"(?U)[\s(){}\[\]\d.,;:<>+\-*/\\|]+", "")
+    rest = F.regexp_replace(flat, r"(?U)[\d\s|\\/*\-+<>:;,.\]\[}{)(]+", "")
     return (flat == "") | (marker_count(c) >= 2) | ((F.length(rest) <= 2) & F.contains(flat, F.lit("(")))
 
 
@@ -93,7 +94,7 @@ def theorem_like(c: Column | str) -> Column:
 def clean_html(c: Column | str) -> Column:
     """Super- and subscripts as ^ and _, any other tag dropped."""
     t = text_of(c)
-    for pattern, by in ((r"(?i)<sup>([^<]+)</sup>", r"^$1"), (r"(?i)<sub>([^<]+)</sub>", r"_$1"), (r"<[^>]+>", "")):
+    for pattern, by in ((r"(?i)<sup>([^<]{1,})</sup>", r"^$1"), (r"(?i)<sub>([^<]{1,})</sub>", r"_$1"), (r"<[^>]+>", "")):
         t = F.regexp_replace(t, pattern, by)
     return t
 
@@ -120,11 +121,11 @@ def unmask(c: Column | str, found: Column, prefix: str = "MATH_MASK_") -> Column
     """The formulas put back; loosely written marks count, marks without a formula become a space."""
     t = text_of(c)
     exact = rf"[{prefix}$1]"
-    for loose in (rf"\[\s*{prefix}(\d+)\s*\]", r"\[\s*MATH\s+MASK\s*_?\s*(\d+)\s*\]", r"\[\s*MATHASK\s*_?\s*(\d+)\s*\]", rf"(?<!\[)\s*{prefix}(\d+)(?!\]|\d)"):
+    for loose in (rf"\[\s*{prefix}(\d+)\s*[\]]", r"[\[]\s*MATH(?:\s+MASK|ASK)[\s_]*(\d+)\s*[\]]", rf"(?<!\[)\s*{prefix}(\d+)(?!\]|\d)"):
         t = F.regexp_replace(t, loose, exact)
     pairs = F.transform(found, lambda f, i: F.struct(F.concat(F.lit(f"[{prefix}"), i.cast("string"), F.lit("]")).alias("m"), f.alias("f")))
     t = F.aggregate(pairs, t, lambda s, p: F.replace(s, p["m"], p["f"]))
-    return F.regexp_replace(F.regexp_replace(t, rf"\[{prefix}\d+\]", " "), r"(?i)\[\s*MATH\s*MASK\s*_?\s*\d+\s*\]", " ")
+    return F.regexp_replace(F.regexp_replace(t, rf"\[{prefix}\d+\]", " "), r"(?i)\[\s*MATH\s*MASK[\s_]*\d+\s*\]", " ")
 
 
 def cjk_chars(c: Column | str) -> Column:
@@ -156,28 +157,50 @@ def formula_issues(source: Column | str, output: Column | str) -> Column:
     return F.when(t == "", F.array(F.lit("empty_translation"))).otherwise(F.array_compact(F.array(*(F.when(bad, name) for name, bad in checks))))
 
 
-LEAKS = (
-    "CRITICAL RULES", "ABSOLUTE RULES", "MUST FOLLOW", "VIOLATION WILL FAIL", "PRESERVE ALL", "Output ONLY", "NO explanations", "NO chatty", "LENGTH CONTROL", "EXACT format required", "REQUIREMENTS:", "MATH_MASK_n", "placeholders EXACTLY",
-    "preserve all.*placeholders", "I'm sorry", "I cannot", "I apologize", "as an AI", "as a language model", "抱歉，我无法", "对不起，我不能", "作为一个AI", "作为语言模型", "Here is the translation", "The translation is",
-)
+#: Marks of leaked instructions, one a line; they are taken literally.
+LEAKS = """ABSOLUTE RULES
+CRITICAL RULES
+EXACT format required
+Here is the translation
+I apologize
+I cannot
+I'm sorry
+LENGTH CONTROL
+MATH_MASK_n
+MUST FOLLOW
+NO chatty
+NO explanations
+Output ONLY
+PRESERVE ALL
+REQUIREMENTS:
+The translation is
+VIOLATION WILL FAIL
+as a language model
+as an AI
+placeholders EXACTLY
+preserve all.*placeholders
+作为一个AI
+作为语言模型
+对不起，我不能
+抱歉，我无法""".split("\n")
 
 
 def clean_output(c: Column | str) -> Column:
     """A model's answer without leaked instructions, lead-ins, quotes, rules and notes."""
     raw = text_of(c)
     t = raw
-    for pattern in (r"(?im)^(原文|Original|Translation|译文|Trans|Answer|Output|Result|翻译结果|翻译为|译为)[:：\s]*", r"(?im)^(Here is|Here's|This is|以下是|根据|按照|依据).*?[:：]\s*", "(?im)^[\"'\u201c\u201d\u2018\u2019]+"):
+    for pattern in (r"(?im)^(Answer|Original|Output|Result|Translation|Trans|原文|翻译为|翻译结果|译为|译文)[:：\s]*", r"(?im)^(This is|Here's|Here is|依据|以下是|按照|根据).*?[:：]\s*", "(?im)^[\"'\u201c\u201d\u2018\u2019]+"):
         t = strip(F.regexp_replace(t, pattern, ""))
     quotes = "[\"'\u201c\u201d\u2018\u2019`\n\r ]+"
     t = F.regexp_replace(F.regexp_replace(t, f"^{quotes}", ""), f"{quotes}$", "")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: ~F.regexp_like(strip(x), F.lit(r"^[-=*#]+$|^(Note:|Explanation:|说明：|备注：)")))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: ~F.regexp_like(strip(x), F.lit(r"^(Explanation:|Note:|备注：|说明：)|^[#*=-]+$")))
     t = strip(F.array_join(lines, "\n"))
     leaked = F.exists(F.array(*map(F.lit, LEAKS)), lambda x: F.contains(raw, x))
     return F.when(leaked, "").when((F.length(t) < 5) & (F.length(raw) > 20), strip(raw)).otherwise(t)
 
 
-_META = ("请提供需要翻译", "仅输出翻译内容", "上一次的尝试", "本次尝试", "之前的尝试", "翻译准确且自然", "不添加其他文字", "输出格式")
-_PROMPTISH = r"(?i)\b(?:prompt|instruction|instructions|rules?|requirements?|output only|format|previous attempt|this attempt|please provide|assistant|system)\b"
+_META = "请提供需要翻译 上一次的尝试 不添加其他文字 之前的尝试 仅输出翻译内容 本次尝试 翻译准确且自然 输出格式".split()
+_PROMPTISH = r"(?i)\b(?:assistant|format|instructions?|output only|please provide|previous attempt|prompt|requirements?|rules?|system|this attempt)\b"
 
 
 def meta_output(source: Column | str, output: Column | str) -> Column:
@@ -186,14 +209,16 @@ def meta_output(source: Column | str, output: Column | str) -> Column:
     hits = lambda marks: sum((F.contains(out, F.lit(m)).cast("int") for m in marks), F.lit(0))
     alone = (hits(_META) > 0) | (F.length(out) > 32)
     asks = F.contains(out, F.lit(_META[0])) & ~F.regexp_like(src, F.lit(r"(?i)\bplease provide\b"))
-    both = asks | ((hits((*_META, "规则：", "要求：")) >= 2) & ~F.regexp_like(src, F.lit(_PROMPTISH)))
+    both = asks | ((hits((*_META, "要求：", "规则：")) >= 2) & ~F.regexp_like(src, F.lit(_PROMPTISH)))
     return F.when(out == "", False).when(src == "", alone).otherwise(both)
 
 
-GREEK = {
-    r"\Gamma": "Γ", r"\Delta": "Δ", r"\Theta": "Θ", r"\Lambda": "Λ", r"\Xi": "Ξ", r"\Pi": "Π", r"\Sigma": "Σ", r"\Phi": "Φ", r"\Psi": "Ψ", r"\Omega": "Ω", r"\alpha": "α", r"\beta": "β", r"\gamma": "γ", r"\delta": "δ", r"\epsilon": "ε", r"\theta": "θ",
-    r"\lambda": "λ", r"\mu": "μ", r"\nu": "ν", r"\pi": "π", r"\rho": "ρ", r"\sigma": "σ", r"\tau": "τ", r"\phi": "φ", r"\chi": "χ", r"\psi": "ψ", r"\omega": "ω", r"\times": "×", r"\leq": "≤", r"\geq": "≥", r"\neq": "≠", r"\in": "∈", r"\subset": "⊂", r"\cup": "∪", r"\cap": "∩",
-}
+#: Commands and the characters they stand for.
+GREEK = {f"\\{name}": char for name, _, char in (pair.partition("=") for pair in (
+    "alpha=α beta=β cap=∩ chi=χ colon=: coloneqq=≔ cup=∪ Delta=Δ delta=δ epsilon=ε exists=∃ forall=∀ Gamma=Γ gamma=γ geq=≥ geqslant=≥ in=∈ infty=∞ int=∫ "
+    "Lambda=Λ lambda=λ ldots=… leq=≤ leqslant=≤ mid=| mu=μ neq=≠ nu=ν Omega=Ω omega=ω Phi=Φ phi=φ Pi=Π pi=π prod=∏ Psi=Ψ psi=ψ rho=ρ rightarrow=→ Sigma=Σ "
+    "sigma=σ subset=⊂ sum=∑ tau=τ Theta=Θ theta=θ times=× to=→ Xi=Ξ "
+).split())} | {f"\\mathbb{{{name}}}": char for name, char in zip("CNQRZ", "ℂℕℚℝℤ")}
 
 
 def latex_to_unicode(c: Column | str) -> Column:
@@ -212,7 +237,7 @@ def balance_braces(c: Column | str) -> Column:
 
 def render_units(c: Column | str) -> Column:
     """A text cut into formulas, white space, words, CJK characters and single other ones."""
-    return F.regexp_extract_all(text_of(c), F.lit(rf"(?s){FORMULA}|(?U:\s+)|[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*|{CJK}|."), F.lit(0))
+    return F.regexp_extract_all(text_of(c), F.lit(rf"(?s){FORMULA}|(?U:\s+)|{WORD}(?:[/_-]{WORD})*|{CJK}|."), F.lit(0))
 
 
 def round_half(c: Column) -> Column:

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
-REWRITE_PRESERVE = ("reference", "equation", "code", "url", "page_header", "page_footer", "aside_text", "page_number", "author", "affiliation")
-RENDER_PRESERVE = (*REWRITE_PRESERVE, "figure", "table", "image", "rect", "curve", "line")
-_ALIASES = {"text": "body", "abstract": "body", "body": "body", "title": "title", "section_header": "section_header", "caption": "caption", "figure_caption": "caption", "table_caption": "caption", "footnote": "footnote", "page_header": "header", "header": "header", "page_footer": "footer", "footer": "footer"}
+REWRITE_PRESERVE = tuple("affiliation aside_text author code equation page_footer page_header page_number reference url".split())
+RENDER_PRESERVE = (*REWRITE_PRESERVE, *"curve figure image line rect table".split())
+_BUCKETS = {"body": "abstract body text", "caption": "caption figure_caption table_caption", "footer": "footer page_footer", "footnote": "footnote", "header": "header page_header", "section_header": "section_header", "title": "title"}
+_ALIASES = {name: bucket for bucket, names in _BUCKETS.items() for name in names.split()}
 
 
 def bucket_sql(kind: str = "lower(coalesce(nullif(detected_type, ''), type, ''))", font_key: str = "'body'") -> str:
     """The style bucket: exact names first, then parts of names, then the style's font key."""
     exact = " ".join(f"when {kind} = '{k}' then '{v}'" for k, v in _ALIASES.items())
-    parts = " ".join(f"when contains({kind}, '{k}') then '{k}'" for k in ("section_header", "title", "caption", "footnote", "header", "footer"))
+    parts = " ".join(f"when contains({kind}, '{k}') then '{k}'" for k in "section_header title caption footnote header footer".split())
     return f"case {exact} {parts} when {font_key} = 'heading' then 'section_header' when {font_key} in ('title', 'caption') then {font_key} else 'body' end"
 
 
@@ -35,8 +36,8 @@ def preserved(kinds: tuple[str, ...] = RENDER_PRESERVE) -> Column:
     return F.expr(any_part(kinds, "type", "detected_type"))
 
 
-TEXT_LIKE_SQL = f"""(not {any_part(REWRITE_PRESERVE, 'type', 'detected_type')} and lower(coalesce(type, '')) in ('', 'text', 'abstract', 'paragraph')
-  and lower(coalesce(nullif(detected_type, ''), type, '')) in ('', 'text', 'body', 'paragraph', 'abstract'))"""
+TEXT_LIKE_SQL = f"""(not {any_part(REWRITE_PRESERVE, 'type', 'detected_type')} and lower(coalesce(type, '')) in ('abstract', 'paragraph', 'text', '')
+  and lower(coalesce(nullif(detected_type, ''), type, '')) in ('abstract', 'body', 'paragraph', 'text', ''))"""
 
 
 def correct_type(blocks: DataFrame, body_size: float) -> DataFrame:
@@ -44,7 +45,7 @@ def correct_type(blocks: DataFrame, body_size: float) -> DataFrame:
     b = float(body_size)
     kind = "lower(coalesce(type, 'text'))"
     rules = f"""case when {kind} = 'page_footnote' then 'footer'
-      when {kind} in ('image', 'table', 'figure', 'line', 'rect', 'curve', 'equation', 'formula', 'code', 'aside_text', 'page_number') then {kind}
+      when {kind} in ('aside_text', 'code', 'curve', 'equation', 'figure', 'formula', 'image', 'line', 'page_number', 'rect', 'table') then {kind}
       when contains({kind}, 'author') and (length(text) > 150 or contains(substring(lower(text), 1, 50), 'abstract')) then 'text'
       when contains({kind}, 'reference') and length(text) > 50 and not bracketed and not numbered then 'text'
       when page_idx = 0 and size > {b} * 1.4 then 'title' when text_level = 0 then 'title'
@@ -56,22 +57,22 @@ def correct_type(blocks: DataFrame, body_size: float) -> DataFrame:
 
 
 def reference_heading(c: Column | str) -> Column:
-    return F.lower(T.squeeze(c)).isin("references", "reference", "bibliography", "works cited")
+    return F.lower(T.squeeze(c)).isin("bibliography", "reference", "references", "works cited")
 
 
-_YEAR = r"\b(?:19|20)\d{2}[a-z]?\b"
-_AUTHOR = r"[A-Z][a-zA-Z'`\-]+,\s*(?:[A-Z]\.){1,3}"
-_INITIALS = r"(?:^|[\s,;&])(?:[A-Z]\.\s*){1,3}[A-Z][a-zA-Z'`\-]+"
-_ADDRESS = r"(?i)Email address:|https?://|@"
+_YEAR = r"\b(?:20|19)\d\d[a-z]?\b"
+_AUTHOR = r"[A-Z][-`'a-zA-Z]+,\s*(?:[A-Z][.]){1,3}"
+_INITIALS = r"(?:[&;,\s]|^)(?:[A-Z][.]\s*){1,3}[A-Z][-`'a-zA-Z]+"
+_ADDRESS = r"(?i)@|https?://|Email address:"
 
 
 def reference_entry(c: Column | str) -> Column:
     """Whether a text looks like an entry of a bibliography, by any of five signs."""
     t = T.squeeze(c)
     like = lambda p: F.regexp_like(t, F.lit(p))
-    year = like(r"\b(19|20)\d{2}\b")
-    venue = like(r"(?i)\b(arXiv|doi|vol\.|pp\.|Proc\.|Journal|Press|University|Univ\.|Springer|Cambridge)\b")
-    return (F.length(t) >= 24) & (like(r"(^|\s)\[[^\]]+\]\s+") | like(r"(^|\s)\d+\.\s+[A-Z]") | like(_ADDRESS) | (venue & year) | (like(_AUTHOR) & year))
+    year = like(r"\b(20|19)\d\d\b")
+    venue = like(r"(?i)\b(Cambridge|Journal|Press|Proc[.]|Springer|Univ[.]|University|arXiv|doi|pp[.]|vol[.])\b")
+    return (F.length(t) >= 24) & (like(r"(?:\s|^)\[(?:[^\]])+\]\s") | like(r"(?:\s|^)\d+[.]\s+[A-Z]") | like(_ADDRESS) | (venue & year) | (like(_AUTHOR) & year))
 
 
 def reference_fragment(c: Column | str) -> Column:
@@ -80,7 +81,7 @@ def reference_fragment(c: Column | str) -> Column:
     like = lambda p: F.regexp_like(t, F.lit(p))
     years, authors, initials = T.count_of(t, _YEAR), T.count_of(t, _AUTHOR), T.count_of(t, _INITIALS)
     named = (authors >= 1) | (initials >= 2)
-    venue = like(r"(?i)\b(?:ApJ|ApJS|A&A|MNRAS|AJ|Science|Nature|arXiv|doi|Proc\.|Proceedings|Journal|Conference|Vol\.|pp\.)\b")
+    venue = like(r"(?i)\b(?:A&A|AJ|ApJ|ApJS|Conference|Journal|MNRAS|Nature|Proc[.]|Proceedings|Science|Vol[.]|arXiv|doi|pp[.])\b")
     listed = (T.count_of(t, ",") >= 3) | F.contains(t, F.lit("&")) | F.contains(F.lower(t), F.lit(" and "))
     paged = like(r"\b\d{1,4}\b")
     return (F.length(t) >= 20) & ~like(_ADDRESS) & (((years >= 1) & named) | ((years >= 1) & venue & listed) | (venue & named & paged))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
-NON_TEXT = ("image", "figure", "table", "equation", "formula", "line", "rect", "curve")
+NON_TEXT = tuple("curve equation figure formula image line rect table".split())
 
 
 def page_stats(blocks: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import types as S
 
 from quire.operators.layout import break_lines
 
-_FORMULA = re.compile(r"((?<!\\)\$(?:\\.|[^$])+(?<!\\)\$)")
-_UNITS = re.compile(r"(?s)(?<!\\)\$(?:\\.|[^$])+(?<!\\)\$|\s+|[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*|[\u4e00-\u9fff]|.")
+_FORMULA = re.compile(r"((?<!\\)[$](?:[^$]|\\.)+(?<!\\)[$])")
+_UNITS = re.compile(r"(?s)(?<!\\)[$](?:[^$]|\\.)+(?<!\\)[$]|\s+|[0-9A-Za-z]+(?:[/_-][0-9A-Za-z]+)*|[\u4e00-\u9fff]|.")
 SENTENCE, CLAUSE = "。！？.!?", "，；：、,;:"
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "《": "》", "“": "”", "「": "」"}
 _CLOSE = {v: k for k, v in PAIRS.items()}
@@ -85,7 +85,7 @@ def fit(text: str, sources: list[str], width: list[float], height: list[float],
     share. It ends at the last stop or comma among its last 24 units if there is one.
     """
     units = _UNITS.findall(text)
-    weights = [max(1, len(re.sub(r"\s+", "", s))) for s in sources]
+    weights = [max(1, sum(map(len, s.split()))) for s in sources]
     out, at = [], 0
     for box in range(len(sources) - 1):
         low, high = at, len(units)

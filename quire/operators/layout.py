@@ -22,7 +22,7 @@ from quire.functions import latex
 from quire.functions import text as T
 
 WIDTHS = {"cjk": 1.0, "blank": 0.3, "other": 0.6}
-_FORMULA = re.compile(r"(?<!\\)\$(?:\\.|[^$])+(?<!\\)\$")
+_FORMULA = re.compile(r"(?<!\\)[$](?:[^$]|\\.)+(?<!\\)[$]")
 
 
 def _tokens(text: str, size: float, line: float, width: float):

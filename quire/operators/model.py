@@ -75,7 +75,7 @@ def unfinished(rows: DataFrame, source: str = "text", output: str = "translated"
     r = rows.withColumns({"_s": s, "_o": o, "_like": latex.similarity(s, o)})
     sl, ol, oc = T.latin_words("_s"), T.latin_words("_o"), T.cjk_chars("_o")
     few = oc < F.greatest(F.lit(8), F.floor(sl / 3))
-    run = F.regexp_like("_o", F.lit(r"(?:\b[A-Za-z]{3,}\b[\s,;:()\-]*){12,}")) & (oc < F.greatest(F.lit(18), sl))
+    run = F.regexp_like("_o", F.lit(r"(?:\b[a-zA-Z]{3,}\b[-\s():;,]*){12,}")) & (oc < F.greatest(F.lit(18), sl))
     still = (F.col("_o") == F.col("_s")) | ((F.col("_like") > 0.88) & few) | (few & (ol >= F.greatest(F.lit(8), F.floor(sl * 0.55)))) | run
     weak = (sl >= 8) & (T.signal_score("_s") >= 36) & (T.signal_score("_o") <= F.greatest(F.lit(10), F.floor(T.signal_score("_s") * 0.18))) & (F.length(T.without_formula_like("_o")) <= 12)
     return r.withColumn("unfinished", (F.col("_s") == "") | (F.col("_o") == "") | ((sl >= 4) & (still | weak))).drop("_s", "_o", "_like")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ALLOWED = {
-    "REGISTERED": ("REGISTERED", "TRANSLATED"), "TRANSLATED": ("TRANSLATED", "PENDING"), "PENDING": ("PENDING", "OVERFLOW", "UNDERFLOW", "OPTIMAL", "FORCE_FIT", "REWRITE_SCHEDULED"), "OVERFLOW": ("OVERFLOW", "REWRITE_SCHEDULED", "OPTIMAL", "FORCE_FIT", "PENDING"),
-    "UNDERFLOW": ("UNDERFLOW", "REWRITE_SCHEDULED", "OPTIMAL", "FORCE_FIT", "PENDING"), "REWRITE_SCHEDULED": ("REWRITE_SCHEDULED", "PENDING", "OPTIMAL", "FORCE_FIT"), "OPTIMAL": ("OPTIMAL",), "FORCE_FIT": ("FORCE_FIT",),
-}
+#: The states that may follow each one; every state may also follow itself.
+_NEXT = {"REGISTERED": "TRANSLATED", "TRANSLATED": "PENDING", "PENDING": "FORCE_FIT OPTIMAL OVERFLOW REWRITE_SCHEDULED UNDERFLOW", "OVERFLOW": "FORCE_FIT OPTIMAL PENDING REWRITE_SCHEDULED", "UNDERFLOW": "FORCE_FIT OPTIMAL PENDING REWRITE_SCHEDULED", "REWRITE_SCHEDULED": "FORCE_FIT OPTIMAL PENDING", "OPTIMAL": "", "FORCE_FIT": ""}
+ALLOWED = {state: (state, *following.split()) for state, following in _NEXT.items()}
 STABLE = ("OPTIMAL", "FORCE_FIT")
 _EDGES = tuple(f"{a}>{b}" for a, bs in ALLOWED.items() for b in bs)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators.classify import TEXT_LIKE_SQL, bucket_sql
 
-GRAPHICS = ("image", "table", "figure", "line", "rect", "curve")
+GRAPHICS = tuple("curve figure image line rect table".split())
 
 
 def document_profile(blocks: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def paragraph_facts(blocks: DataFrame) -> DataFrame:
 
 DOC_TYPES_SKIPPED = (*GRAPHICS, "equation", "code")
 RISK_SQL = {
-    "conservative_base": "math_ratio >= 0.32 or theorem_ratio >= 0.06 or (math_ratio >= 0.12 and multi_ratio >= 0.08)",
+    "conservative_base": "theorem_ratio >= 0.06 or math_ratio >= 0.32 or (multi_ratio >= 0.08 and math_ratio >= 0.12)",
     "disabled_base": "math_ratio >= 0.48 or (math_ratio >= 0.18 and multi_ratio >= 0.22)",
     "overridden": "(math_ratio >= 0.48 or (math_ratio >= 0.18 and multi_ratio >= 0.22)) and (safe_blocks >= 8 or safe_ratio >= 0.08)",
 }
@@ -60,7 +60,7 @@ def block_risk(facts: DataFrame, risk: DataFrame) -> DataFrame:
 
     j = facts.join(risk.select("doc_id", "conservative", "disabled"), "doc_id", "left").fillna(False, ["conservative", "disabled"])
     high = F.col("multi_box") | (F.col("math") > 0) | (F.col("latex") > 0) | F.col("theorem") | F.col("compact_box")
-    named = F.col("bucket").isin("title", "section_header", "caption", "footnote", "header", "footer")
+    named = F.col("bucket").isin(*"caption footer footnote header section_header title".split())
     flags = {
         "multi_box": F.col("multi_box"), "safe_multibox_body": F.col("safe_multibox"), "contains_math": F.col("math") > 0, "contains_latex_commands": F.col("latex") > 0, "theorem_like": F.col("theorem"), "compact_box": F.col("compact_box"), "long_text": F.col("chars") >= 360,
         "safe_prose_body": F.col("safe_prose"), "doc_global_rewrite_disabled": F.col("disabled"), "safe_prose_rewrite_override": F.col("disabled") & F.col("safe_prose"), "doc_conservative_mode": F.col("conservative") & high,

@@ -48,15 +48,15 @@ register("t1_review_first", lambda s, d: coverage.review_first(_coverage(s, d)),
 # Text functions --------------------------------------------------------------------------
 _KEY = ["doc_id", "idx"]
 register("f1_squeeze", lambda s, d: blocks(s, d).select(*_KEY, T.squeeze("text").alias("squeezed"), F.length(T.compact("text")).cast("long").alias("n")), W + f" select doc_id, idx, {SQ.format('text')} as squeezed, length({CM.format('text')}) as n from blocks")
-_INFO = r"[^\x{4e00}-\x{9fff}A-Za-z0-9=<>+\-*/\\|\[\]{}()^_~:;,.''\"`$%&!?@#]"
-_MARK = r"\(?(?:\d+|[A-Za-z]|[ivxlcdmIVXLCDM]+)\)?[.)]?"
+_INFO = r"[^0-9a-zA-Z\x{4e00}-\x{9fff}#@?!&%$`\"''.,;:~_^()}{\]\[|\\/*\-+<>=]"
+_MARK = r"[(]?(?:[a-zA-Z]|\d+)[)]?[).]?"
 register("f3_information", lambda s, d: blocks(s, d).select(*_KEY, T.information_score("text").cast("long").alias("score"), T.marker_count("text").cast("long").alias("markers"), T.low_information("text").alias("low")), W + rf""",
-  q as (select doc_id, idx, {SQ.format('text')} as t from blocks), m as (select *, case when t <> '' and trim(regexp_replace(t, '{_MARK}', '', 'g')) = '' then {cnt('t', _MARK)} else 0 end as markers, length(regexp_replace(t, '[\s()\{{\}}\[\]\d.,;:<>+\-*/\\|]+', '', 'g')) as rest from q)
+  q as (select doc_id, idx, {SQ.format('text')} as t from blocks), m as (select *, case when t <> '' and trim(regexp_replace(t, '{_MARK}', '', 'g')) = '' then {cnt('t', _MARK)} else 0 end as markers, length(regexp_replace(t, '[\d\s|\\/*\-+<>:;,.\]\[}}{{)(]+', '', 'g')) as rest from q)
   select doc_id, idx, length(regexp_replace(t, '{_INFO}', '', 'g')) as score, markers, t = '' or markers >= 2 or (rest <= 2 and contains(t, '(')) as low from m""")
 register("f9_math_counts", lambda s, d: blocks(s, d).select(*_KEY, T.math_segments("text").cast("long").alias("math"), T.latex_commands("text").cast("long").alias("latex"), T.theorem_like("text").alias("theorem")), W + rf"""
-  select doc_id, idx, {cnt('text', '[$]')} // 2 + {cnt('text', r'\\[\[(]')} as math, {cnt('text', r'\\[A-Za-z]+')} as latex, regexp_matches(text, '(?i)\b(theorem|lemma|proof|corollary|proposition|definition|remark|example|claim)\b') as theorem from blocks""")
+  select doc_id, idx, {cnt('text', '[$]')} // 2 + {cnt('text', r'\\[\[(]')} as math, {cnt('text', r'\\[A-Za-z]+')} as latex, regexp_matches(text, '(?i)\b(claim|corollary|definition|example|lemma|proof|proposition|remark|theorem)\b') as theorem from blocks""")
 register("f11_html_text", lambda s, d: table(s, d, "pages").select("page_id", T.clean_html("html").alias("text")), r"""
-  select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<sup>([^<]+)</sup>', '^\1', 'gi'), '<sub>([^<]+)</sub>', '_\1', 'gi'), '<[^>]+>', '', 'g') as text from pages""")
+  select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<sup>([^<]{1,})</sup>', '^\1', 'gi'), '<sub>([^<]{1,})</sub>', '_\1', 'gi'), '<[^>]+>', '', 'g') as text from pages""")
 #: The oracle's formulas: without look-behind, which is the same as the data have no backslash.
 _FORM = r"\$[^$]+\$"
 register("f16_formulas", lambda s, d: blocks(s, d).select(*_KEY, F.size(T.formulas("text")).cast("long").alias("n"), T.without_formulas("text").alias("rest")), W + f" select doc_id, idx, {cnt('text', _FORM)} as n, regexp_replace(text, '{_FORM}', ' ', 'g') as rest from blocks")
@@ -83,7 +83,7 @@ register("f32_meta_output", lambda s, d: table(s, d, "conversations").select("co
 register("f22_latex_unicode", lambda s, d: blocks(s, d).select(*_KEY, T.latex_to_unicode("text").alias("plain"), T.balance_braces("text").alias("balanced")), W + f" select doc_id, idx, {SQ.format(chr(114) + 'eplace(text, chr(36), chr(0))').replace('chr(0)', chr(39) * 2)} as plain, text as balanced from blocks")
 register("f18_sanitize_math", lambda s, d: blocks(s, d).where(F.contains("text", F.lit("$"))).select(*_KEY, latex.sanitize_math("text").alias("sane")))
 register("f30_similarity", lambda s, d: blocks(s, d).where("idx < 3").select(*_KEY, latex.similarity("text", "translated").alias("ratio")))
-register("d6_render_units", lambda s, d: blocks(s, d).select(*_KEY, F.size(T.render_units("text")).cast("long").alias("units")), W + rf" select doc_id, idx, {cnt('text', rf'(?s){_FORM}|\s+|[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*|[\x{{4e00}}-\x{{9fff}}]|.')} as units from blocks")
+register("d6_render_units", lambda s, d: blocks(s, d).select(*_KEY, F.size(T.render_units("text")).cast("long").alias("units")), W + rf" select doc_id, idx, {cnt('text', rf'(?s){_FORM}|\s+|[0-9A-Za-z]+(?:[/_-][0-9A-Za-z]+)*|[\x{{4e00}}-\x{{9fff}}]|.')} as units from blocks")
 register("d8_split_weight", lambda s, d: blocks(s, d).select(*_KEY, F.greatest(F.lit(1), F.when((F.col("width") < 120) | (F.col("height") < 16), F.least(F.lit(24), F.length(T.compact(T.without_formulas("text"))) + F.size(T.formulas("text")) * 6)).otherwise(F.length(T.compact(T.without_formulas("text"))) + F.size(T.formulas("text")) * 6)).cast("long").alias("weight")),
          W + rf""", p as (select *, length(regexp_replace(regexp_replace(text, '{_FORM}', ' ', 'g'), '\s+', '', 'g')) + {cnt('text', _FORM)} * 6 as n from blocks) select doc_id, idx, cast(greatest(1, case when width < 120 or height < 16 then least(24, n) else n end) as bigint) as weight from p""")
 _CAND = '{"text": "'
@@ -155,10 +155,10 @@ _FACTS = rf"""
 _o as (select *, {C.TEXT_LIKE_SQL} as text_like, {C.bucket_sql()} as bucket from blocks where lid is not null),
 _f as (select doc_id, lid, count(*) as boxes, arg_min(type, {{'a': page_idx, 'b': y0, 'c': idx}}) as type, arg_min(bucket, {{'a': page_idx, 'b': y0, 'c': idx}}) as bucket, arg_min(coalesce(detected_type, type), {{'a': page_idx, 'b': y0, 'c': idx}}) as detected_type, arg_min(height, {{'a': page_idx, 'b': y0, 'c': idx}}) as height,
   bool_and(text_like) as all_text_like, string_agg(text, ' ' order by page_idx, y0, idx) as text from _o group by doc_id, lid),
-_g as (select *, length({CM.format('text')}) as chars, {cnt('text', '[$]')} // 2 + {cnt('text', r'\\[\[(]')} as math, {cnt('text', r'\\[A-Za-z]+')} as latex, regexp_matches(text, '(?i)\b(theorem|lemma|proof|corollary|proposition|definition|remark|example|claim)\b') as theorem, height > 0 and height <= 22 as compact_box, boxes > 1 as multi_box from _f),
+_g as (select *, length({CM.format('text')}) as chars, {cnt('text', '[$]')} // 2 + {cnt('text', r'\\[\[(]')} as math, {cnt('text', r'\\[A-Za-z]+')} as latex, regexp_matches(text, '(?i)\b(claim|corollary|definition|example|lemma|proof|proposition|remark|theorem)\b') as theorem, height > 0 and height <= 22 as compact_box, boxes > 1 as multi_box from _f),
 facts as (select *, chars >= 20 and math = 0 and latex = 0 and not theorem and not compact_box as plain, multi_box and boxes <= 3 and all_text_like as multi_ok from _g),
 _r as (select doc_id, count(*) as logical_blocks, count(*) filter (math > 0 or latex >= 2) as math_blocks, count(*) filter (theorem) as theorem_blocks, count(*) filter (multi_box) as multi_blocks, count(*) filter (type in ('text', 'abstract', '') and plain and (not multi_box or multi_ok)) as safe_blocks
-  from facts where type not in ('image', 'table', 'figure', 'line', 'rect', 'curve', 'equation', 'code') group by doc_id),
+  from facts where type not in ('code', 'curve', 'equation', 'figure', 'image', 'line', 'rect', 'table') group by doc_id),
 _q as (select *, math_blocks / logical_blocks as math_ratio, theorem_blocks / logical_blocks as theorem_ratio, multi_blocks / logical_blocks as multi_ratio, safe_blocks / logical_blocks as safe_ratio from _r),
 risk as (select *, ({stats.RISK_SQL['conservative_base']}) or ({stats.RISK_SQL['overridden']}) as conservative, ({stats.RISK_SQL['disabled_base']}) and not ({stats.RISK_SQL['overridden']}) as disabled from _q)"""
 
@@ -179,7 +179,7 @@ register("a9_block_risk", _block_risk, W + "," + _FACTS + f""",
   j as (select f.*, coalesce(conservative, false) as cons, coalesce(disabled, false) as dis, bucket = 'body' and plain and multi_ok as sm, bucket = 'body' and plain and (not multi_box or multi_ok) as sp from facts f left join risk using (doc_id)),
   k as (select *, list_sort(list_filter([case when multi_box then 'multi_box' end, case when sm then 'safe_multibox_body' end, case when math > 0 then 'contains_math' end, case when latex > 0 then 'contains_latex_commands' end, case when theorem then 'theorem_like' end, case when compact_box then 'compact_box' end,
     case when chars >= 360 then 'long_text' end, case when sp then 'safe_prose_body' end, case when dis then 'doc_global_rewrite_disabled' end, case when dis and sp then 'safe_prose_rewrite_override' end, case when cons and (multi_box or math > 0 or latex > 0 or theorem or compact_box) then 'doc_conservative_mode' end,
-    case when bucket in ('title', 'section_header', 'caption', 'footnote', 'header', 'footer') then 'bucket_' || bucket end], lambda x: x is not null)) as flags from j)
+    case when bucket in ('caption', 'footer', 'footnote', 'header', 'section_header', 'title') then 'bucket_' || bucket end], lambda x: x is not null)) as flags from j)
   select doc_id, lid, bucket, array_to_string(flags, ',') as risk_flags, case when math > 0 or latex > 0 or theorem or multi_box then 'high' when len(flags) > 0 then 'medium' else 'low' end as risk_level,
     not {C.any_part(C.REWRITE_PRESERVE, 'type', 'detected_type')} and bucket not in ('title', 'section_header', 'header', 'footer') as rewrite_allowed from k""")
 register("a11_freeze_series", lambda s, d: stats.freeze_series(blocks(s, d).withColumns({"bucket": C.bucket(), "line": 1.1 + (F.col("idx") % 7) * 0.05}), ["doc_id", "bucket"], "line", 0.05, "line"), W + f""",

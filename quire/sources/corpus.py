@@ -38,9 +38,10 @@ def load_settings(path: str) -> dict | list:
 def missing_keys(config: dict) -> list[str]:
     """Required keys without a value; those of `reflow` are required where it is enabled."""
     wanted = ["translation.base_url", "translation.api_key", "translation.model"]
-    if config.get("reflow", {}).get("enabled"):
+    value = lambda key: (config.get(key.partition(".")[0]) or {}).get(key.partition(".")[2])
+    if value("reflow.enabled"):
         wanted += ["reflow.base_url", "reflow.api_key", "reflow.model"]
-    return [k for k in wanted if not config.get(k.split(".")[0], {}).get(k.split(".")[1])]
+    return [k for k in wanted if not value(k)]
 
 
 def requested(wanted: list[str] | None, available: list[str], aliases: dict[str, str]) -> list[str]:
