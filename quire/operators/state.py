@@ -56,3 +56,25 @@ def attribution(actions: DataFrame) -> DataFrame:
     action = actions.select(F.lit("action").alias("kind"), F.explode(F.array_distinct("actions")).alias("name"))
     issue = actions.where("issue is not null").select(F.lit("issue").alias("kind"), F.col("issue").alias("name"))
     return stage.unionByName(action).unionByName(issue).groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def registry(blocks: DataFrame) -> DataFrame:
+    """Each paragraph as REGISTERED with the type and page of its last block."""
+    return blocks.where("lid is not null").groupBy("doc_id", "lid").agg(F.max_by("type", "idx").alias("type"), F.max_by("page_idx", "idx").alias("page_idx")).withColumn("state", F.lit("REGISTERED"))
+
+
+EVENT_COLUMNS = ("lid", "round", "stage", "event_type", "state_before", "state_after", "planned_actions", "applied_actions", "issue")
+
+
+def events(rows: DataFrame, stage: str, event_type: str) -> DataFrame:
+    """Rows as events of a stage, in EVENT_COLUMNS; actions once each, in order. Missing columns are NULL."""
+    nothing = {c: F.lit(None).cast("array<string>" if c.endswith("actions") else "int" if c == "round" else "string") for c in EVENT_COLUMNS if c not in rows.columns}
+    full = rows.withColumns(nothing).withColumns({"stage": F.lit(stage), "event_type": F.lit(event_type)})
+    once = {c: F.coalesce(F.array_distinct(c), F.array().cast("array<string>")) for c in ("planned_actions", "applied_actions")}
+    return full.withColumns(once).select(*EVENT_COLUMNS)
+
+
+def rewrite_delta(rows: DataFrame) -> DataFrame:
+    """chars_before, chars_after and their difference for rewritten texts (before_text, after_text)."""
+    r = rows.withColumns({"chars_before": F.length(F.coalesce("before_text", F.lit(""))), "chars_after": F.length(F.coalesce("after_text", F.lit("")))})
+    return r.withColumn("delta", F.col("chars_after") - F.col("chars_before"))

@@ -266,3 +266,28 @@ def test_streamed_attribution(spark, tmp_path):
 def test_report(spark):
     cov = spark.createDataFrame([(1, 1, "OK", 5, 5), (1, 2, "建议视觉复核", 9, 1)], "doc_id long, page_no int, label string, expected_chars long, actual_chars long").withColumn("ratio", F.col("actual_chars") / F.col("expected_chars"))
     assert "| 1 | 2 | 建议视觉复核 | 9 | 1 |" in corpus.coverage_report(cov, coverage.review_first(cov))
+
+
+def test_styled_words(spark):
+    from quire.operators import styles
+
+    words = spark.createDataFrame([(1, "term", True, False), (1, "--", True, False), (1, "ab", False, True), (1, "absent", True, False), (2, "aa", True, False), (2, "bb", True, False), (2, "cc", True, False), (2, "dd", True, False)], "k int, token string, bold boolean, italic boolean")
+    texts = spark.createDataFrame([(1, "a term and ab ab ab term here"), (2, "aabbccdd")], "k int, translated string")
+    assert [(r.k, r.token) for r in styles.sanitise_mapping(words, texts, ["k"]).collect()] == [(1, "term")]
+
+
+def test_events(spark):
+    rows = spark.createDataFrame([("1", ["A", "A", "B"])], "lid string, applied_actions array<string>")
+    r = state.events(rows, "reflow", "evaluate").first()
+    assert (r.stage, r.applied_actions, r.planned_actions, r.round) == ("reflow", ["A", "B"], [], None)
+    assert state.rewrite_delta(spark.createDataFrame([("abc", None)], "before_text string, after_text string")).first().delta == -3
+
+
+def test_formula_size(spark):
+    from quire.operators import styles
+
+    w, h = styles.formula_size(F.lit(100.0), F.lit(20.0), F.lit(10.0), F.lit(25.0))
+    r = spark.range(1).select(w.alias("w"), h.alias("h")).first()
+    assert (r.w, r.h) == (25.0, 5.0)
+    w, h = styles.formula_size(F.lit(8.0), F.lit(5.0), F.lit(10.0), F.lit(25.0))
+    assert tuple(spark.range(1).select(w, h).first()) == (8.0, 5.0)
