@@ -166,3 +166,40 @@ def test_large_labels_are_cut(spark, monkeypatch):
     whole = sorted(r.doc_ids for r in ngram_join.ngram_jaccard_join(df).collect())
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     assert sorted(r.doc_ids for r in ngram_join.ngram_jaccard_join(df).collect()) == whole and len(whole) == 435
+
+
+def test_every_stage_takes_odd_and_empty_tables(spark, odd, empty):
+    import corpus_pipeline
+    from tests.conftest import SMALL
+
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SMALL)
+        assert stage(spark, empty, SMALL).count() == 0
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {1, None, 5, 6, 7, 8, 9}
+            continue
+        assert out.columns == corpus_pipeline.COLUMNS
+        if name == "toxicity":  # nothing here is labelled, so nothing is rejected
+            assert ids(out) == ids(odd)
+        if name == "n-gram Jaccard join":  # 7 (twice) is like 1, 6 like 5; the row without id stays
+            assert ids(out) == sorted((x is None, x or 0) for x in (1, 2, 3, 4, None, 5, 8, 9))
+        if name == "suffix-array dedup":
+            assert {r.doc_id: r.text for r in out.collect()}[6] == "tail"
+
+
+def test_toxicity_rejects_only_toxic_documents(spark):
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(400):
+        w = [f"w{rng.randrange(200)}" for _ in range(rng.randrange(20, 120))]
+        bad = i % 4 == 0
+        for _ in range(3 if bad else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(["vile", "rotten"]))
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs.append((900, None))
+    df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (3, None), (999, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(df, marks, toxic=60, clean=150)
+    wrong = toxicity.score(df, model).where("toxic <> (doc_id % 4 = 0 and doc_id < 900)").count()
+    assert wrong <= 8
