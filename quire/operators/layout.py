@@ -25,29 +25,36 @@ WIDTHS = {"cjk": 1.0, "blank": 0.3, "other": 0.6}
 _FORMULA = re.compile(r"(?<!\\)[$](?:[^$]|\\.)+(?<!\\)[$]")
 
 
-def _tokens(text: str, size: float, line: float, width: float):
-    """Advance and height factor of each unit of a text: characters, formulas, newlines (NaN)."""
-    adv, high, last = [], [], 0
-
-    def plain(part: str) -> None:
-        if not part:
-            return
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-        cjk = (c >= 0x4E00) & (c <= 0x9FFF)
-        blank = np.array([ch.isspace() for ch in part]) if not part.isascii() else (c == 32) | ((c >= 9) & (c <= 13)) | ((c >= 28) & (c <= 31))
-        a = np.where(cjk, WIDTHS["cjk"], np.where(blank, WIDTHS["blank"], WIDTHS["other"])) * size
-        a[c == 10] = np.nan
-        adv.append(a)
-        high.append(np.where(cjk, 1.10, 1.02) * size)
-
-    for m in _FORMULA.finditer(text) if "$" in text else ():
-        plain(text[last : m.start()])
-        w, h = latex.inline_box(m.group(0).strip("$").strip(), size, size * line)
-        adv.append(np.array([min(w, max(width * 0.98, 1.0))]))
-        high.append(np.array([h * 1.04]))
-        last = m.end()
-    plain(text[last:])
-    return (np.concatenate(adv), np.concatenate(high)) if adv else (np.zeros(0), np.zeros(0))
+def _characters(text: str, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Advance (NaN for newlines) and height of each character, with its size."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cjk = (c >= 0x4E00) & (c <= 0x9FFF)
+    blank = (c == 32) | ((c >= 9) & (c <= 13)) | ((c >= 28) & (c <= 31))
+    rest = np.unique(c[c > 127])
+    blank |= np.isin(c, [x for x in rest.tolist() if chr(x).isspace()])
+    advance = np.where(cjk, WIDTHS["cjk"], np.where(blank, WIDTHS["blank"], WIDTHS["other"])) * size
+    advance[c == 10] = np.nan
+    return advance, np.where(cjk, 1.10, 1.02) * size
+
+
+def _units(texts: list[str], width: np.ndarray, size: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Advances and heights of all texts' units in a row, and units by text. A formula is one unit."""
+    parts: list[tuple[int, str, tuple[float, float] | None]] = []
+    for k, text in enumerate(texts):
+        last = 0
+        for m in _FORMULA.finditer(text) if "$" in text else ():
+            w, h = latex.inline_box(m.group(0).strip("$").strip(), size[k], size[k] * line[k])
+            parts += [(k, text[last : m.start()], None), (k, " ", (min(w, max(width[k] * 0.98, 1.0)), h * 1.04))]
+            last = m.end()
+        parts.append((k, text[last:] if last else text, None))
+    lengths = np.array([len(t) for _, t, _ in parts], np.int64)
+    owner = np.repeat(np.array([k for k, _, _ in parts], np.int64), lengths)
+    advance, high = _characters("".join(t for _, t, _ in parts), size[owner])
+    boxes = [(at, box) for at, (_, _, box) in zip((np.cumsum(lengths) - lengths).tolist(), parts) if box]
+    if boxes:
+        at = [x for x, _ in boxes]
+        advance[at], high[at] = zip(*(box for _, box in boxes))
+    return advance, high, np.bincount(owner, minlength=len(texts))
 
 
 def break_lines(texts: list[str], width: np.ndarray, size: np.ndarray, line: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +64,9 @@ def break_lines(texts: list[str], width: np.ndarray, size: np.ndarray, line: np.
     each unit is followed by `char` of spacing; a line is 1.06 sizes high at least. A
     newline ends a line. A text without characters has no line.
     """
-    parts = [_tokens(t, s, ln, w) for t, s, ln, w in zip(texts, size, line, width)]
-    count = np.array([len(a) for a, _ in parts], np.int64)
+    adv, high, count = _units(texts, width, size, line) if texts else (np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
     bounds = np.concatenate([[0], np.cumsum(count)])
-    adv = np.concatenate([a for a, _ in parts]) if parts else np.zeros(0)
-    high = np.concatenate([h for _, h in parts]) if parts else np.zeros(0)
-    owner = np.repeat(np.arange(len(parts)), count)
+    owner = np.repeat(np.arange(len(texts)), count)
     newline = np.isnan(adv)
     step = np.where(newline, 0.0, adv + char[owner])
     total = np.concatenate([[0.0], np.cumsum(step)])
@@ -91,7 +95,7 @@ def break_lines(texts: list[str], width: np.ndarray, size: np.ndarray, line: np.
             owners.append(active[over])
             active, at = active[~over], at[~over]
     if not starts:
-        return np.zeros(0), np.zeros(len(parts) + 1, np.int64)
+        return np.zeros(0), np.zeros(len(texts) + 1, np.int64)
     s, e, o = (np.concatenate(x) for x in (starts, stops, owners))
     order = np.lexsort((s, o))
     s, e, o = s[order], e[order], o[order]
@@ -101,7 +105,7 @@ def break_lines(texts: list[str], width: np.ndarray, size: np.ndarray, line: np.
     if len(single):  # reduceat runs up to the next start; a line ends before a newline
         flat = np.stack([s[single], e[single]], axis=1).reshape(-1)
         tallest[single] = np.maximum.reduceat(np.append(np.where(newline, 0.0, high), 0.0), flat)[::2]
-    return np.maximum(tallest, 1.06 * size[o]), np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(parts)))])
+    return np.maximum(tallest, 1.06 * size[o]), np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(texts)))])
 
 
 @F.arrow_udf(S.ArrayType(S.DoubleType()))
