@@ -19,7 +19,7 @@ from quire.llm.text import Words, mix, powers, words
 
 MIN_WORDS = 50
 #: Texts that are hashed at once, and contexts that are sorted at once (whole groups; a larger group by itself).
-TEXTS, CONTEXTS = 512, 20_000
+TEXTS, CONTEXTS = 512, 8_000
 _U = np.uint64
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BACK = np.ones(1, _U)
@@ -377,23 +377,27 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     cuts = passages.where("size(removed) > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("text_hash", "removed")).alias("_cuts"))
 
     def cut(batches):
-        for batch in batches:
-            where = batch.schema.get_field_index("_cuts")
-            w = words(batch.column(batch.schema.get_field_index("text")), lower=False)
-            d1, _ = text_hashes(w)
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for i, cuts_ in enumerate(batch.column(where).to_pylist()):
-                spans = next((c["removed"] for c in cuts_ if c["text_hash"] == d1[i]), [])
-                if not spans:
-                    continue
-                a, b = int(w.bounds[i]), int(w.bounds[i + 1])
-                edges = [0, *(x for s in spans for x in (s["first"], s["last"])), b - a]
-                pieces = [w.piece(a + x, a + y) for x, y in zip(edges[::2], edges[1::2])]
-                texts[i] = "\n".join(p for p in pieces if p)
-            arrays = {n: batch.column(k) for k, n in enumerate(batch.schema.names) if k != where}
-            arrays["text"] = pa.array(texts, pa.string())
-            arrays["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_pydict(arrays).filter(pa.array([t != "" for t in texts]))
+        for whole in batches:
+            for k in range(0, whole.num_rows, TEXTS):
+                yield without(whole.slice(k, TEXTS))
+
+    def without(batch):
+        names = batch.schema.names
+        w = words(batch.column(names.index("text")), lower=False)
+        d1, _ = text_hashes(w)
+        texts = batch.column(names.index("text")).to_pylist()
+        for i, cuts_ in enumerate(batch.column(names.index("_cuts")).to_pylist()):
+            spans = next((c["removed"] for c in cuts_ if c["text_hash"] == d1[i]), [])
+            if not spans:
+                continue
+            a, b = int(w.bounds[i]), int(w.bounds[i + 1])
+            edges = [0, *(x for s in spans for x in (s["first"], s["last"])), b - a]
+            pieces = [w.piece(a + x, a + y) for x, y in zip(edges[::2], edges[1::2])]
+            texts[i] = "\n".join(p for p in pieces if p)
+        arrays = {n: batch.column(k) for k, n in enumerate(names) if n != "_cuts"}
+        arrays["text"] = pa.array(texts, pa.string())
+        arrays["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+        return pa.RecordBatch.from_pydict(arrays).filter(pa.array([t != "" for t in texts]))
 
     joined = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long")).join(cuts, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     touched = joined.where("_cuts is not null").mapInArrow(cut, "doc_id long, text string, lang string, source string, n_chars long")
