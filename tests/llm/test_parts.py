@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import fingerprints, ngram_join, sharding, suffix_dedup, toxicity, warc
@@ -192,3 +193,23 @@ def test_pipeline_stages(spark):
             count = lambda rows: sum(len(r.text.split()) for r in rows)
             assert count(after) == count(before) == sum(r.length for r in after)
         docs = out
+
+
+def test_join_finds_pairs_that_share_only_common_grams(spark):
+    """Overlapping passages, each in more than COMMON documents, and rare grams that fill the prefix by rarity."""
+    rng = random.Random(8)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(20)) for _ in range(40)]
+    docs = []
+    for place in range(33):
+        for _ in range(10):
+            docs.append((len(docs), " ".join([*passages[place : place + 8], *(f"u{rng.randrange(10**9)}" for _ in range(35))])))
+    rng.shuffle(docs)
+    docs = [(i, text) for i, (_, text) in enumerate(docs)]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in docs)}
+    want = {(a, b) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    prefix = ngram_join.prefixes(ngram_join.distinct_sets(df, 3))
+    lone = ngram_join.labelled(prefix, 0.5).withColumn("label", F.col("rep"))
+    assert want <= {(r.a, r.b) for r in ngram_join.candidates(lone, 0.5, 0).collect()}
+    got = [tuple(r.doc_ids) for r in ngram_join.ngram_jaccard_join(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
