@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import hash_key, pick
 from quire.llm.text import Words, mix, powers, words
 
-WINDOW, STRIDE = 48, 32
+#: A span of up to WINDOW - STRIDE + 1 words lies whole in a window.
+WINDOW, STRIDE = 48, 24
 #: Hashed rows of the tables of words and byte n-grams, and their widths.
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM = 8192, 16384, 6, 12
 HIDDEN, ATTEND = 10, 6

@@ -132,6 +132,15 @@ def test_toxicity_is_learnt():
     assert ((best >= model["threshold"]) == y[400:]).mean() > 0.95
 
 
+def test_spans_of_half_a_window_lie_in_one():
+    first, length, owner = toxicity.windows(np.array([0, 500, 530, 700]))
+    for text, (a, b) in enumerate([(0, 500), (500, 530), (530, 700)]):
+        own = owner == text
+        for size in range(1, toxicity.WINDOW // 2 + 2):
+            for k in range(a, b - size + 1):
+                assert ((first[own] <= k) & (first[own] + length[own] >= k + size)).any()
+
+
 def test_toxicity_without_labels():
     assert toxicity.train(["a", "b"], np.array([False, False]))["threshold"] == np.inf
 
