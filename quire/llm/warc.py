@@ -35,22 +35,22 @@ def resolve(records: DataFrame) -> DataFrame:
     anew: lengths, digests and references are those of the new archive.
 
     A response without a digest gets one from its payload. NULL payloads of responses are
-    empty ones. Records of other types pass through. Of response rows that are equal in
+    empty ones, and originals only where no response of the digest has its payload. Records of other types pass through. Of response rows that are equal in
     (date, record_id, uri, digest) one is the original; exact repeats of it are dropped.
     """
-    base = records.select("record_id", "type", "uri", "date", F.when(F.col("type") == "response", F.coalesce("digest", F.concat(F.lit("sha256:"), F.sha2(F.coalesce("payload", F.lit("")), 256)))).otherwise(F.col("digest")).alias("digest"), "refers_to", F.when(F.col("type") == "response", F.coalesce("payload", F.lit(""))).otherwise(F.col("payload")).alias("payload"))
-    heads = materialise(base.drop("payload").distinct(), "heads")
+    base = records.select("record_id", "type", "uri", "date", F.when(F.col("type") == "response", F.coalesce("digest", F.concat(F.lit("sha256:"), F.sha2(F.coalesce("payload", F.lit("")), 256)))).otherwise(F.col("digest")).alias("digest"), "refers_to", F.when(F.col("type") == "response", F.coalesce("payload", F.lit(""))).otherwise(F.col("payload")).alias("payload"), F.col("payload").isNotNull().alias("present"))
+    heads = materialise(base.groupBy("record_id", "type", "uri", "date", "digest", "refers_to").agg(F.max("present").alias("present")), "heads")
     lone = heads.where("type = 'revisit' and digest is null and refers_to is not null")
     known = heads.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min("digest").alias("found"))
     filled = heads.where("not (type <=> 'revisit' and digest is null and refers_to is not null)").unionByName(lone.join(known, "refers_to", "left").withColumn("digest", F.col("found")).select(*heads.columns))
     order = [F.col("date").asc_nulls_last(), F.col("record_id").asc_nulls_last(), F.col("uri").asc_nulls_last()]
-    first = Window.partitionBy("digest").orderBy((F.col("type") == "response").cast("int").desc(), *order)
+    first = Window.partitionBy("digest").orderBy((F.col("type") == "response").cast("int").desc(), F.col("present").desc(), *order)
     marked = filled.where("type in ('response', 'revisit') and digest is not null").select("*", F.row_number().over(first).alias("nth"), F.first(F.when(F.col("type") == "response", F.struct("record_id", "uri", "date"))).over(first).alias("original"))
-    kept = marked.where("type = 'response' and nth = 1").select(F.col("record_id").alias("k_id"), F.col("digest").alias("k_digest"), F.col("date").alias("k_date"), F.col("uri").alias("k_uri"))
-    same = F.col("record_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")) & F.col("date").eqNullSafe(F.col("k_date")) & F.col("uri").eqNullSafe(F.col("k_uri"))
-    originals = base.where("type = 'response'").join(kept, same).drop("k_id", "k_digest", "k_date", "k_uri").dropDuplicates(["digest"])
+    kept = marked.where("type = 'response' and nth = 1").select(F.col("record_id").alias("k_id"), F.col("digest").alias("k_digest"), F.col("date").alias("k_date"), F.col("uri").alias("k_uri"), F.col("present").alias("k_present"))
+    same = F.col("record_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")) & F.col("date").eqNullSafe(F.col("k_date")) & F.col("uri").eqNullSafe(F.col("k_uri")) & (F.col("present") == F.col("k_present"))
+    originals = base.where("type = 'response'").join(kept, same).drop("k_id", "k_digest", "k_date", "k_uri", "k_present", "present").dropDuplicates(["digest"])
     revisits = marked.where("not (type = 'response' and nth = 1)").select("record_id", F.lit("revisit").alias("type"), "uri", "date", "digest", F.coalesce("original.record_id", "refers_to").alias("refers_to"), F.lit(None).cast("string").alias("payload"), F.col("original.uri").alias("to_uri"), F.col("original.date").alias("to_date"))
-    rest = filled.where("type = 'revisit' and digest is null").withColumn("payload", F.lit(None).cast("string")).unionByName(base.where("type is null or type not in ('response', 'revisit')"))
+    rest = filled.where("type = 'revisit' and digest is null").withColumn("payload", F.lit(None).cast("string")).drop("present").unionByName(base.where("type is null or type not in ('response', 'revisit')").drop("present"))
     nothing = F.lit(None).cast("string")
     rows = originals.withColumn("refers_to", nothing).unionByName(rest).withColumns({"to_uri": nothing, "to_date": nothing}).unionByName(revisits)
     n = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")

@@ -83,6 +83,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert back["e"].payload == "software: x"
 
 
+def test_original_has_a_payload(spark):
+    rows = [("a", "response", "http://x", "2024-01-01T00:00:00Z", "sha256:d", None, None), ("b", "response", "http://x", "2024-01-02T00:00:00Z", "sha256:d", None, "body"), ("b", "response", "http://x", "2024-01-02T00:00:00Z", "sha256:d", None, None)]
+    out = {r.record_id: r for r in warc.resolve(spark.createDataFrame(rows, warc.SCHEMA)).collect()}
+    assert (out["b"].type, out["b"].payload) == ("response", "body")
+    assert (out["a"].type, out["a"].refers_to) == ("revisit", "b")
+
+
 def test_broken_archive():
     with pytest.raises(ValueError):
         warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")
