@@ -23,9 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of similar ones; rows without doc_id stay."""
-    redundant = ngram_join.redundant_ids(docs)
-    return docs.select(*COLUMNS).join(redundant, "doc_id", "left_anti").select(*COLUMNS)
+    """One row, that of the least id, of each group of similar texts, repeats of a row included (see keep_one); rows without doc_id stay."""
+    return ngram_join.keep_one(docs.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
