@@ -1,7 +1,7 @@
 """Vectorised tokenisation and hashing shared by the text operators.
 
-A word is a maximal run of characters other than Unicode white space; unless stated
-otherwise texts are lower-cased first. All arithmetic is on whole Arrow batches in
+A word is a maximal run of characters other than ASCII space, tab, newline, carriage
+return and form feed, as in SQL; unless stated otherwise texts are lower-cased first. All arithmetic is on whole Arrow batches in
 numpy: no Python code runs per word or per character.
 """
 
@@ -14,8 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
-#: White space beyond ASCII, folded to a plain space before words are cut.
-_WIDE_SPACE = "[\u0085   -     　]"
 _ODD = _U(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, _U)
 
@@ -60,7 +58,7 @@ class Words:
 
 
 def to_array(column) -> pa.Array:
-    """A string array without chunks, NULL read as the empty text, wide white space as spaces."""
+    """A string array without chunks, NULL read as the empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if not isinstance(column, pa.Array):
@@ -72,14 +70,12 @@ def words(column, lower: bool = True) -> Words:
     texts = to_array(column)
     if lower:
         texts = pc.utf8_lower(texts)
-    if len(texts) and pc.any(pc.match_substring_regex(texts, _WIDE_SPACE)).as_py():
-        texts = pc.replace_substring_regex(texts, _WIDE_SPACE, " ")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     base, stop = int(offsets[0]), int(offsets[-1])
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[base:stop] if raw is not None and stop > base else np.zeros(0, np.uint8)
     cuts = offsets - base
-    solid = (data != 32) & ((data < 9) | (data > 13)) & ((data < 28) | (data > 31))
+    solid = (data != 32) & (data != 9) & (data != 10) & (data != 12) & (data != 13)
     edge = np.zeros(len(data) + 1, bool)
     edge[cuts] = True
     begins = np.flatnonzero(solid & (edge[:-1] | ~np.concatenate([[False], solid[:-1]])))
