@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import WORD_COUNT_SQL, hash_key, hash_key_sql, materialise, pick, prefix_sums, word_count
@@ -31,9 +31,10 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, default_weight:
     budget exactly; only the document at the cut has take_tokens below n_tokens.
 
     NULL is a source of its own. Rows that share doc_id and source count as one document
-    of their summed length. Documents without words, sources of weight 0 and sources
-    without any word give no row; the budget of the latter stays unused. An empty table
-    gives an empty result.
+    of their summed length; equal keys are told apart by doc_id. Documents without words
+    (NULL, empty or blank texts), sources of weight 0 and sources without any word give no
+    row; the budget of the latter stays unused. Very long texts count whole. Other columns
+    of docs, whatever their names, aren't read. An empty table gives an empty result.
     """
     sizes = pick(docs, doc_id=id_col, source=source_col, text=text_col).select("doc_id", "source", word_count().alias("n_tokens"))
     sizes = materialise(sizes.groupBy("doc_id", "source").agg(F.sum("n_tokens").alias("n_tokens")), "sizes")
@@ -86,12 +87,21 @@ def cut_words(docs: DataFrame, take: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mixture, each as often as it is taken; the one at a cut is shortened to its share."""
+    """The documents of the mixture, each as often as it is taken; the one at a cut is shortened to its share.
+
+    Columns: those of documents. Rows that share doc_id and source are one document to
+    mix(); where its last epoch is cut, they are taken in order of (text, lang, n_chars)
+    until its share is met, so that the words of a source add up to its budget exactly,
+    repeats of a row included. NULL texts have no words: such rows, like blank ones, come
+    only with others of their document. Very long texts are cut by words like all others.
+    Other columns, whatever their names, aren't read. An empty table gives an empty one.
+    """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     chosen = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(
         F.sum((F.col("take_tokens") == F.col("n_tokens")).cast("int")).alias("_whole"), F.min(F.when(F.col("take_tokens") < F.col("n_tokens"), F.col("take_tokens"))).alias("_cut"))
     both = docs.select(*columns).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    takes = F.concat(F.when(F.col("_whole") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("_whole").cast("int"))).otherwise(F.array().cast("array<bigint>")), F.when(F.col("_cut").isNotNull(), F.array("_cut")).otherwise(F.array().cast("array<bigint>")))
-    rows = both.select(*columns, F.explode(takes).alias("_take"))
-    cut = rows.where("_take >= 0")
-    return rows.where("_take < 0").drop("_take").unionByName(cut_words(cut, "_take").drop("_take"))
+    whole = both.where("_whole > 0").select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("_whole").cast("int"))).alias("_k")).drop("_k")
+    earlier = Window.partitionBy("doc_id", "source").orderBy("text", "lang", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
+    cut = both.where("_cut is not null").withColumn("_words", word_count())
+    cut = cut.withColumn("_take", F.least("_words", F.col("_cut") - F.coalesce(F.sum("_words").over(earlier), F.lit(0)))).where("_take > 0")
+    return whole.unionByName(cut_words(cut.select(*columns, F.col("_take").cast("long")), "_take").drop("_take"))
