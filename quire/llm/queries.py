@@ -16,7 +16,7 @@ QUERIES = {
     "op3_quality_rules": lambda spark, d: quality.clean_lines(table(spark, d, "documents")),
     "op4_sharding": lambda spark, d: sharding.shard(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
-    "op6_warc": lambda spark, d: warc.resolve(warc.captures(table(spark, d, "pages"))),
+    "op6_warc": lambda spark, d: warc.resolve(warc.captures(table(spark, d, "pages")), "text/html"),
     "op7_suffix_array_dedup": lambda spark, d: suffix_dedup.passage_rows(suffix_dedup.repeated_passages(table(spark, d, "documents"))),
     "op8_fingerprints": lambda spark, d: fingerprints.fingerprints(table(spark, d, "documents")),
     "op9_toxicity": _toxicity,

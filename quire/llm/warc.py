@@ -11,22 +11,34 @@ from pyspark.sql import functions as F
 from quire.llm.common import materialise, pick
 
 VERSION = "WARC/1.1"
-DATE = "2024-01-01T00:00:00Z"
+DATE, AGAIN = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SCHEMA = "record_id string, type string, uri string, date string, digest string, refers_to string, payload string"
+SCHEMA = "record_id string, type string, uri string, date string, digest string, refers_to string, payload binary"
+COLUMNS = ["record_id", "type", "uri", "date", "digest", "refers_to", "payload"]
 
 
-def captures(pages: DataFrame, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages as response records (SCHEMA). A NULL page is an empty payload."""
-    base = pick(pages, page_id=id_col, uri=url_col, payload=html_col)
-    payload = F.coalesce("payload", F.lit(""))
-    return base.select(F.concat(F.lit("page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))).alias("record_id"), F.lit("response").alias("type"), F.col("uri"), F.lit(date).alias("date"), F.concat(F.lit("sha256:"), F.sha2(payload, 256)).alias("digest"), F.lit(None).cast("string").alias("refers_to"), payload.alias("payload"))
+def captures(pages: DataFrame, date: str = DATE, again: str = AGAIN, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Pages as the records of two crawls (columns of SCHEMA, payload as text). A NULL page is an empty payload.
+
+    The first crawl has a response for each page. The second one, at `again`, found all
+    unchanged: of the remainder of page_id by four, 0 gives a revisit with its digest, 1 a
+    revisit that only refers to the first record, 2 the whole response once more, and 3
+    (like a NULL page_id) no record.
+    """
+    base = pick(pages, page_id=id_col, uri=url_col, payload=html_col).withColumn("payload", F.coalesce("payload", F.lit("")))
+    base = base.withColumn("id", F.coalesce(F.col("page_id").cast("string"), F.lit("none"))).withColumn("sha", F.concat(F.lit("sha256:"), F.sha2("payload", 256)))
+    nothing = F.lit(None).cast("string")
+    page, kind = F.concat(F.lit("page:"), "id"), F.pmod("page_id", F.lit(4))
+    first = F.struct(page.alias("record_id"), F.lit("response").alias("type"), "uri", F.lit(date).alias("date"), F.col("sha").alias("digest"), nothing.alias("refers_to"), "payload")
+    second = F.struct(F.concat(F.lit("again:"), "id").alias("record_id"), F.when(kind == 2, "response").otherwise("revisit").alias("type"), "uri", F.lit(again).alias("date"), F.when(kind != 1, F.col("sha")).alias("digest"), F.when(kind < 2, page).alias("refers_to"), F.when(kind == 2, F.col("payload")).alias("payload"))
+    return base.select(F.explode(F.when(kind < 3, F.array(first, second)).otherwise(F.array(first))).alias("r")).select("r.*")
 
 
-def resolve(records: DataFrame) -> DataFrame:
+def resolve(records: DataFrame, content_type: str = "application/octet-stream") -> DataFrame:
     """The records of a deduplicated archive: record_id, type, uri, date, digest, refers_to, n_bytes, header, payload.
 
-    Only headers are shuffled by digest. For each digest the original is the first of its
+    Only headers are shuffled by digest; payloads travel once, to the headers of those that
+    stay. For each digest the original is the first of its
     response records that has a payload, in order of (date, record_id, uri); it stays a
     response. Every other response of that digest and every revisit that has it becomes a
     revisit without payload that refers to the original. A revisit without a digest takes
@@ -35,10 +47,16 @@ def resolve(records: DataFrame) -> DataFrame:
     anew: lengths, digests and references are those of the new archive.
 
     A response without a digest gets one from its payload. NULL payloads of responses are
-    empty ones, and originals only where no response of the digest has its payload. Records of other types pass through. Of response rows that are equal in
-    (date, record_id, uri, digest) one is the original; exact repeats of it are dropped.
+    empty ones, and originals only where no response of the digest has its payload. Records
+    of other types pass through. Of response rows that are equal in (date, record_id, uri,
+    digest) one is the original; exact repeats of it are dropped. Payloads are text or
+    binary, of any length, and stay what they are. Other columns of records, whatever their
+    names, aren't read. An empty table gives an empty result.
     """
-    base = records.select("record_id", "type", "uri", "date", F.when(F.col("type") == "response", F.coalesce("digest", F.concat(F.lit("sha256:"), F.sha2(F.coalesce("payload", F.lit("")), 256)))).otherwise(F.col("digest")).alias("digest"), "refers_to", F.when(F.col("type") == "response", F.coalesce("payload", F.lit(""))).otherwise(F.col("payload")).alias("payload"), F.col("payload").isNotNull().alias("present"))
+    kind = dict(records.dtypes)["payload"]
+    empty, response = F.lit("").cast(kind), F.col("type").eqNullSafe("response")
+    digest = F.when(response, F.coalesce("digest", F.concat(F.lit("sha256:"), F.sha2(F.coalesce("payload", empty), 256)))).otherwise(F.col("digest"))
+    base = records.select("record_id", "type", "uri", "date", digest.alias("digest"), "refers_to", F.when(response, F.coalesce("payload", empty)).otherwise(F.col("payload")).alias("payload"), F.col("payload").isNotNull().alias("present"))
     heads = materialise(base.groupBy("record_id", "type", "uri", "date", "digest", "refers_to").agg(F.max("present").alias("present")), "heads")
     lone = heads.where("type = 'revisit' and digest is null and refers_to is not null")
     known = heads.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min("digest").alias("found"))
@@ -46,33 +64,52 @@ def resolve(records: DataFrame) -> DataFrame:
     order = [F.col("date").asc_nulls_last(), F.col("record_id").asc_nulls_last(), F.col("uri").asc_nulls_last()]
     first = Window.partitionBy("digest").orderBy((F.col("type") == "response").cast("int").desc(), F.col("present").desc(), *order)
     marked = filled.where("type in ('response', 'revisit') and digest is not null").select("*", F.row_number().over(first).alias("nth"), F.first(F.when(F.col("type") == "response", F.struct("record_id", "uri", "date"))).over(first).alias("original"))
-    kept = marked.where("type = 'response' and nth = 1").select(F.col("record_id").alias("k_id"), F.col("digest").alias("k_digest"), F.col("date").alias("k_date"), F.col("uri").alias("k_uri"), F.col("present").alias("k_present"))
-    same = F.col("record_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")) & F.col("date").eqNullSafe(F.col("k_date")) & F.col("uri").eqNullSafe(F.col("k_uri")) & (F.col("present") == F.col("k_present"))
-    originals = base.where("type = 'response'").join(kept, same).drop("k_id", "k_digest", "k_date", "k_uri", "k_present", "present").dropDuplicates(["digest"])
-    revisits = marked.where("not (type = 'response' and nth = 1)").select("record_id", F.lit("revisit").alias("type"), "uri", "date", "digest", F.coalesce("original.record_id", "refers_to").alias("refers_to"), F.lit(None).cast("string").alias("payload"), F.col("original.uri").alias("to_uri"), F.col("original.date").alias("to_date"))
-    rest = filled.where("type = 'revisit' and digest is null").withColumn("payload", F.lit(None).cast("string")).drop("present").unionByName(base.where("type is null or type not in ('response', 'revisit')").drop("present"))
+    marked = materialise(marked, "marked")
+    same = ["record_id", "uri", "date", "digest", "present"]
+    kept = marked.where("type = 'response' and nth = 1").select(*(F.col(c).alias(f"k_{c}") for c in same), F.xxhash64(*same).alias("k"))
+    found = base.where("type = 'response'").withColumn("k", F.xxhash64(*same)).join(kept, "k")
+    for c in same:
+        found = found.where(F.col(c).eqNullSafe(F.col(f"k_{c}")))
+    originals = found.withColumn("copy", F.row_number().over(Window.partitionBy("k").orderBy("refers_to"))).where("copy = 1").select(*COLUMNS)
+    bare = F.lit(None).cast(kind)
+    revisits = marked.where("not (type = 'response' and nth = 1)").select("record_id", F.lit("revisit").alias("type"), "uri", "date", "digest", F.coalesce("original.record_id", "refers_to").alias("refers_to"), bare.alias("payload"), F.col("original.uri").alias("to_uri"), F.col("original.date").alias("to_date"))
+    rest = filled.where("type = 'revisit' and digest is null").withColumn("payload", bare).drop("present").unionByName(base.where("type is null or type not in ('response', 'revisit')").drop("present"))
     nothing = F.lit(None).cast("string")
     rows = originals.withColumn("refers_to", nothing).unionByName(rest).withColumns({"to_uri": nothing, "to_date": nothing}).unionByName(revisits)
     n = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
     one = lambda c: F.regexp_replace(F.col(c), r"[\r\n]+", " ")
-    header = F.concat(F.lit(f"{VERSION}\r\n"), line("WARC-Type", one("type")), line("WARC-Record-ID", F.concat(F.lit("<urn:quire:"), one("record_id"), F.lit(">"))), line("WARC-Target-URI", one("uri")), line("WARC-Date", one("date")),
-                      line("WARC-Payload-Digest", one("digest")), line("WARC-Profile", F.when(F.col("type") == "revisit", F.lit(PROFILE))), line("WARC-Refers-To", F.concat(F.lit("<urn:quire:"), one("refers_to"), F.lit(">"))), line("WARC-Refers-To-Target-URI", one("to_uri")), line("WARC-Refers-To-Date", one("to_date")), line("Content-Length", n.cast("string")), F.lit("\r\n"))
+    parts = [
+        line("WARC-Type", one("type")), line("WARC-Record-ID", F.concat(F.lit("<urn:quire:"), one("record_id"), F.lit(">"))), line("WARC-Target-URI", one("uri")),
+        line("WARC-Date", one("date")), line("WARC-Payload-Digest", one("digest")), line("WARC-Profile", F.when(F.col("type") == "revisit", F.lit(PROFILE))),
+        line("WARC-Refers-To", F.concat(F.lit("<urn:quire:"), one("refers_to"), F.lit(">"))), line("WARC-Refers-To-Target-URI", one("to_uri")), line("WARC-Refers-To-Date", one("to_date")),
+        line("Content-Type", F.when(response, F.lit(content_type))), line("Content-Length", n.cast("string")),
+    ]
+    header = F.concat(F.lit(f"{VERSION}\r\n"), *parts, F.lit("\r\n"))
     return rows.select("record_id", "type", "uri", "date", "digest", "refers_to", n.alias("n_bytes"), header.alias("header"), "payload")
 
 
-def resolve_pages_sql(date: str = DATE) -> str:
-    """resolve(captures(pages)) in DuckDB."""
+def resolve_pages_sql(date: str = DATE, again: str = AGAIN, content_type: str = "text/html") -> str:
+    """resolve(captures(pages), content_type) in DuckDB."""
     nl = "chr(13) || chr(10)"
     one = lambda c: f"regexp_replace({c}, '[\\r\\n]+', ' ', 'g')"
     return f"""
-with c as (select distinct 'page:' || coalesce(cast(page_id as varchar), 'none') as record_id, url as uri, 'sha256:' || sha256(coalesce(html, '')) as digest, coalesce(html, '') as payload from pages),
-m as (select *, row_number() over w as nth, first(record_id) over w as o_id, first(uri) over w as o_uri from c window w as (partition by digest order by record_id nulls last, uri nulls last)),
-r as (select record_id, case when nth = 1 then 'response' else 'revisit' end as type, uri, '{date}' as date, digest, case when nth > 1 then o_id end as refers_to,
-  case when nth = 1 then octet_length(encode(payload)) else 0 end as n_bytes, case when nth = 1 then payload end as payload, o_uri from m)
+with p as (select distinct page_id, coalesce(cast(page_id as varchar), 'none') as id, url as uri, 'sha256:' || sha256(coalesce(html, '')) as sha, coalesce(html, '') as payload from pages),
+recs as (
+  select 'page:' || id as record_id, 'response' as type, uri, '{date}' as date, sha as digest, null as refers_to, payload from p
+  union all
+  select 'again:' || id, case when page_id % 4 = 2 then 'response' else 'revisit' end, uri, '{again}', case when page_id % 4 <> 1 then sha end,
+    case when page_id % 4 < 2 then 'page:' || id end, case when page_id % 4 = 2 then payload end from p where page_id % 4 < 3),
+firsts as (select record_id, min(digest) as found from recs where type = 'response' group by record_id),
+c as (select r.record_id, r.type, r.uri, r.date, coalesce(r.digest, f.found) as digest, r.refers_to, r.payload from recs r left join firsts f on r.digest is null and f.record_id = r.refers_to),
+m as (select *, row_number() over w as nth, first(record_id) over w as o_id, first(uri) over w as o_uri, first(date) over w as o_date
+  from c window w as (partition by digest order by case when type = 'response' then 0 else 1 end, date, record_id, uri nulls last)),
+r as (select record_id, case when nth = 1 then 'response' else 'revisit' end as type, uri, date, digest, case when nth > 1 then o_id end as refers_to,
+  case when nth = 1 then octet_length(encode(payload)) else 0 end as n_bytes, case when nth = 1 then payload end as payload, o_uri, o_date from m)
 select record_id, type, uri, date, digest, refers_to, cast(n_bytes as bigint) as n_bytes,
   '{VERSION}' || {nl} || 'WARC-Type: ' || type || {nl} || 'WARC-Record-ID: <urn:quire:' || record_id || '>' || {nl} || coalesce('WARC-Target-URI: ' || {one('uri')} || {nl}, '') || 'WARC-Date: ' || date || {nl} || 'WARC-Payload-Digest: ' || digest || {nl}
-  || case when type = 'revisit' then 'WARC-Profile: {PROFILE}' || {nl} || 'WARC-Refers-To: <urn:quire:' || refers_to || '>' || {nl} || coalesce('WARC-Refers-To-Target-URI: ' || {one('o_uri')} || {nl}, '') || 'WARC-Refers-To-Date: ' || date || {nl} else '' end
+  || case when type = 'revisit' then 'WARC-Profile: {PROFILE}' || {nl} || 'WARC-Refers-To: <urn:quire:' || refers_to || '>' || {nl} || coalesce('WARC-Refers-To-Target-URI: ' || {one('o_uri')} || {nl}, '') || 'WARC-Refers-To-Date: ' || o_date || {nl}
+     else 'Content-Type: {content_type}' || {nl} end
   || 'Content-Length: ' || cast(n_bytes as varchar) || {nl} || {nl} as header, payload from r"""
 
 
@@ -96,7 +133,8 @@ def write_archive(resolved: DataFrame, path: str, files: int) -> DataFrame:
         with part.open("wb") as out:
             for pdf in batches:
                 for header, payload in zip(pdf["header"], pdf["payload"]):
-                    out.write(gzip.compress(header.encode() + (payload or "").encode() + b"\r\n\r\n", mtime=0))
+                    body = payload.encode() if isinstance(payload, str) else bytes(payload or b"")
+                    out.write(gzip.compress(header.encode() + body + b"\r\n\r\n", mtime=0))
                     n += 1
         size = part.stat().st_size
         os.replace(part, pathlib.Path(path, name))
@@ -124,7 +162,7 @@ def parse(data: bytes) -> list[dict]:
             raise ValueError("a record is cut short")
         name = lambda k: re.sub(r"^<(urn:quire:)?|>$", "", fields[k]) if k in fields else None
         kind = fields.get("warc-type")
-        out.append({"record_id": name("warc-record-id"), "type": kind, "uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "digest": fields.get("warc-payload-digest"), "refers_to": name("warc-refers-to"), "payload": None if kind == "revisit" else body.decode("utf-8", "replace")})
+        out.append({"record_id": name("warc-record-id"), "type": kind, "uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "digest": fields.get("warc-payload-digest"), "refers_to": name("warc-refers-to"), "payload": None if kind == "revisit" else body})
         at = end + 4 + size
         while data[at : at + 2] == b"\r\n":
             at += 2
