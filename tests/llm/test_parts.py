@@ -1,6 +1,8 @@
 """Parts against brute force: suffix sort, schedules, WARC round trip, gradients, fingerprints, components."""
 
+import hashlib
 import heapq
+import math
 import random
 
 import numpy as np
@@ -73,19 +75,48 @@ def test_schedule(seed):
     assert (plan.to_rank - plan.from_rank).sum() == len(sizes)
 
 
+@pytest.mark.parametrize("shards", [3, 64])
+def test_shard_matches_a_heap(spark, shards):
+    """The query end to end: groups of equal texts by falling size, each to the least loaded shard."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sizes = {}
+    for r in docs.collect():
+        sizes[r.text] = sizes.get(r.text, 0) + len(r.text or "")
+    heap = [(0, k) for k in range(shards)]
+    for z in sorted(sizes.values(), reverse=True):
+        load, k = heapq.heappop(heap)
+        heapq.heappush(heap, (load + z, k))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    loads, homes = [0] * shards, {}
+    for r in sharding.shard(docs, shards).collect():
+        loads[r.shard] += len(text[r.doc_id] or "")
+        homes.setdefault(text[r.doc_id], set()).add(r.shard)
+    assert sorted(loads) == sorted(x for x, _ in heap) and all(len(x) == 1 for x in homes.values())
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [("a", "response", "http://x", "2024-01-02T00:00:00Z", None, None, "body é"), ("b", "revisit", "http://x", "2024-01-03T00:00:00Z", None, "a", None), ("c", "response", "http://y", "2024-01-01T00:00:00Z", None, None, "body é"), ("d", "revisit", "http://z", None, "sha256:gone", "q", None), ("e", "warcinfo", None, None, None, None, "software: x")]
-    out = warc.resolve(spark.createDataFrame(rows, warc.SCHEMA))
+    out = warc.resolve(spark.createDataFrame(rows, warc.SCHEMA.replace("binary", "string")))
     assert sum(r.records for r in warc.write_archive(out, str(tmp_path / "w"), 2).collect()) == 5
     back = {r.record_id: r for r in warc.read_archive(spark, str(tmp_path / "w")).collect()}
-    assert back["c"].payload == "body é" and back["c"].type == "response"
+    assert back["c"].payload == "body é".encode() and back["c"].type == "response"
     assert [(back[k].type, back[k].refers_to) for k in "abd"] == [("revisit", "c"), ("revisit", "c"), ("revisit", "q")]
-    assert back["e"].payload == "software: x"
+    assert back["e"].payload == b"software: x"
+
+
+def test_binary_payloads_keep_their_bytes(spark, tmp_path):
+    rows = [("a", "response", "http://x", "2024-01-02T00:00:00Z", None, None, b"\xff\x00\xfe\r\n\r\n"), ("b", "response", "http://y", "2024-01-03T00:00:00Z", None, None, b"\xff\x00\xfe\r\n\r\n")]
+    warc.write_archive(warc.resolve(spark.createDataFrame(rows, warc.SCHEMA), "image/png"), str(tmp_path / "w"), 1).collect()
+    back = warc.read_archive(spark, str(tmp_path / "w"))
+    got = {r.record_id: r for r in back.collect()}
+    assert got["a"].payload == rows[0][6] and got["b"].refers_to == "a" and got["a"].digest == got["b"].digest
+    assert got["a"].digest == "sha256:" + hashlib.sha256(rows[0][6]).hexdigest()
+    assert sorted((r.record_id, r.type) for r in warc.resolve(back).collect()) == [("a", "response"), ("b", "revisit")]
 
 
 def test_original_has_a_payload(spark):
     rows = [("a", "response", "http://x", "2024-01-01T00:00:00Z", "sha256:d", None, None), ("b", "response", "http://x", "2024-01-02T00:00:00Z", "sha256:d", None, "body"), ("b", "response", "http://x", "2024-01-02T00:00:00Z", "sha256:d", None, None)]
-    out = {r.record_id: r for r in warc.resolve(spark.createDataFrame(rows, warc.SCHEMA)).collect()}
+    out = {r.record_id: r for r in warc.resolve(spark.createDataFrame(rows, warc.SCHEMA.replace("binary", "string"))).collect()}
     assert (out["b"].type, out["b"].payload) == ("response", "body")
     assert (out["a"].type, out["a"].refers_to) == ("revisit", "b")
 
@@ -139,6 +170,40 @@ def test_toxicity_is_learnt():
     assert ((best >= model["threshold"]) == y[400:]).mean() > 0.95
 
 
+def plain_logit(m, inputs):
+    """The network on one window, number by number."""
+    h, ways = toxicity.HIDDEN, []
+    for s, order in (("f", range(len(inputs))), ("b", range(len(inputs) - 1, -1, -1))):
+        state, out = [0.0] * h, {}
+        for t in order:
+            px = [sum(inputs[t][i] * m[f"W{s}"][i][j] for i in range(len(inputs[t]))) + m[f"c{s}"][j] for j in range(3 * h)]
+            hu = [sum(state[i] * m[f"U{s}"][i][j] for i in range(h)) for j in range(3 * h)]
+            gate = [min(1.0, max(0.0, 0.2 * (px[j] + hu[j]) + 0.5)) for j in range(2 * h)]
+            cand = [math.tanh(px[2 * h + j] + gate[j] * hu[2 * h + j]) for j in range(h)]
+            state = [gate[h + j] * state[j] + (1 - gate[h + j]) * cand[j] for j in range(h)]
+            out[t] = state
+        ways.append(out)
+    both = [ways[0][t] + ways[1][t] for t in range(len(inputs))]
+    e = [sum(m["v"][k] * math.tanh(sum(m["A"][i][k] * x[i] for i in range(2 * h))) for k in range(toxicity.ATTEND)) for x in both]
+    weight = [math.exp(x - max(e)) for x in e]
+    return sum(m["w"][i] * sum(a * x[i] for a, x in zip(weight, both)) / sum(weight) for i in range(2 * h)) + m["b"][0]
+
+
+def test_forward_pass_matches_plain_loops():
+    """Every window of odd texts, word by word, without any batch."""
+    m = {k: np.asarray(x, np.float64) for k, x in toxicity.new_model(3).items()}
+    w = words(pa.array(["one bad word", "", "x " * 60 + "y", "a b"]))
+    v, place = toxicity.vocabulary(w)
+    first, length, _ = toxicity.windows(w.bounds)
+    got = toxicity.logits(toxicity.new_model(3), toxicity.inputs(toxicity.new_model(3), v), first, length, place)
+    for z, a, n in zip(got, first, length):
+        inputs = []
+        for k in place[a : a + n]:
+            grams = v.gram[v.bounds[k] : v.bounds[k + 1]]
+            inputs.append(np.concatenate([m["E"][v.word[k]], sum(m["C"][g] for g in grams) / len(grams) ** 0.5]))
+        assert abs(float(z) - plain_logit(m, inputs)) < 1e-4
+
+
 def test_spans_of_half_a_window_lie_in_one():
     first, length, owner = toxicity.windows(np.array([0, 500, 530, 700]))
     for text, (a, b) in enumerate([(0, 500), (500, 530), (530, 700)]):
@@ -191,6 +256,25 @@ def test_pipeline_stages(spark):
         before, after = docs.collect(), out.collect()
         if name != "packing":
             assert out.columns == corpus_pipeline.COLUMNS
+        if name == "toxicity":
+            model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+            bad = {r.doc_id for r in before if toxicity.score_texts(model, pa.array([r.text], pa.large_string()))[0][0] >= model["threshold"]}
+            assert {r.doc_id for r in after} == {r.doc_id for r in before} - bad
+        if name == "mixing sources to target weights":
+            size = lambda rows: {s: sum(len(r.text.split()) for r in rows if r.source == s) for s in {r.source for r in rows}}
+            has, weight = size(before), lambda s: {"src0": 6}.get(s, 1)
+            assert size(after) == {s: sum(has.values()) * weight(s) // sum(map(weight, has)) for s in has}
+            texts = {r.doc_id: r.text.split() for r in before}
+            times, short = {}, {}
+            for r in after:
+                w = r.text.split()
+                assert w == texts[r.doc_id][: len(w)]
+                if len(w) < len(texts[r.doc_id]):
+                    short[r.source] = short.get(r.source, 0) + 1
+                else:
+                    times.setdefault(r.source, {}).setdefault(r.doc_id, []).append(1)
+            assert all(n == 1 for n in short.values())
+            assert all(max(map(len, x.values())) - min(map(len, x.values())) <= 1 for x in times.values())
         if name == "n-gram Jaccard join":
             sets = {r.doc_id: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} for r in before if (w := r.text.lower().split())}
             near = lambda a, b: len(sets[a] & sets[b]) * 2 >= len(sets[a] | sets[b])
@@ -212,7 +296,7 @@ def test_pipeline_stages(spark):
 
 
 def test_join_finds_pairs_that_share_only_common_grams(spark):
-    """Overlapping passages, each in more than COMMON documents, and rare grams that fill the prefix by rarity."""
+    """Overlapping passages, each in many documents, among grams of their own."""
     rng = random.Random(8)
     passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(20)) for _ in range(40)]
     docs = []
@@ -224,8 +308,29 @@ def test_join_finds_pairs_that_share_only_common_grams(spark):
     sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in docs)}
     want = {(a, b) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    prefix = ngram_join.prefixes(ngram_join.distinct_sets(df, 3))
-    lone = ngram_join.labelled(prefix, 0.5).withColumn("label", F.col("rep"))
-    assert want <= {(r.a, r.b) for r in ngram_join.candidates(lone, 0.5, 0).collect()}
-    got = [tuple(r.doc_ids) for r in ngram_join.ngram_jaccard_join(df).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for limit in (0, 160, 10**9, None):
+        got = [(r.doc_id_a, r.doc_id_b) for r in ngram_join.ngram_jaccard_join(df, limit=limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_boundary_of_least_cost_has_sets_on_both_sides(spark):
+    """Short texts of few words are in long lists, long ones in short lists."""
+    rng = random.Random(4)
+    docs = [" ".join(f"s{rng.randrange(3)}" for _ in range(6)) for _ in range(300)]
+    for _ in range(20):
+        w = [f"l{rng.randrange(10**6)}" for _ in range(300)]
+        docs += [" ".join(w), " ".join(w[:-20])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    plan = ngram_join.Plan(0.5)
+    live = ngram_join.live_tokens(ngram_join.distinct_sets(ngram_join.signatures(df, 3, plan)))
+    limit = ngram_join.boundary(live, plan)
+    assert 0 < limit < live.agg(F.max("n")).first()[0]
+    kinds = {r.kind for r in ngram_join.keyed(live, plan, limit).select("kind").distinct().collect()}
+    assert {ngram_join.LARGE, ngram_join.SUBSET} <= kinds
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in enumerate(docs) for w in [t.split()]}
+    first = {}
+    for i, x in sets.items():
+        first.setdefault(frozenset(x), i)
+    want = {(a, b) for a in first.values() for b in first.values() if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    want |= {(first[frozenset(x)], i) for i, x in sets.items() if first[frozenset(x)] != i}
+    assert {(r.doc_id_a, r.doc_id_b) for r in ngram_join.ngram_jaccard_join(df).collect()} == want
