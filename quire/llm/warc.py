@@ -65,11 +65,9 @@ def resolve(records: DataFrame, content_type: str = "application/octet-stream")
     first = Window.partitionBy("digest").orderBy((F.col("type") == "response").cast("int").desc(), F.col("present").desc(), *order)
     marked = filled.where("type in ('response', 'revisit') and digest is not null").select("*", F.row_number().over(first).alias("nth"), F.first(F.when(F.col("type") == "response", F.struct("record_id", "uri", "date"))).over(first).alias("original"))
     marked = materialise(marked, "marked")
-    same = ["record_id", "uri", "date", "digest", "present"]
-    kept = marked.where("type = 'response' and nth = 1").select(*(F.col(c).alias(f"k_{c}") for c in same), F.xxhash64(*same).alias("k"))
-    found = base.where("type = 'response'").withColumn("k", F.xxhash64(*same)).join(kept, "k")
-    for c in same:
-        found = found.where(F.col(c).eqNullSafe(F.col(f"k_{c}")))
+    name = F.unhex(F.sha2(F.to_json(F.struct("record_id", "uri", "date", "digest", "present")), 256)).alias("k")
+    kept = marked.where("type = 'response' and nth = 1").select(name)
+    found = base.where("type = 'response'").withColumn("k", name).join(kept, "k")
     originals = found.withColumn("copy", F.row_number().over(Window.partitionBy("k").orderBy("refers_to"))).where("copy = 1").select(*COLUMNS)
     bare = F.lit(None).cast(kind)
     revisits = marked.where("not (type = 'response' and nth = 1)").select("record_id", F.lit("revisit").alias("type"), "uri", "date", "digest", F.coalesce("original.record_id", "refers_to").alias("refers_to"), bare.alias("payload"), F.col("original.uri").alias("to_uri"), F.col("original.date").alias("to_date"))
