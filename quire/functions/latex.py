@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -47,6 +48,7 @@ def unwrap(text: str) -> str:
     return outer_braces(text)
 
 
+@lru_cache(maxsize=65_536)
 def normalize(text: str) -> str:
     """Commands that recognition broke apart joined again, blanks around braces and dollars dropped, wrappers unwrapped."""
     if not text:

@@ -235,6 +235,13 @@ def balance_braces(c: Column | str) -> Column:
     return F.concat(t, F.repeat(F.lit("}"), F.greatest(F.lit(0), count_of(t, r"\{") - count_of(t, r"\}"))))
 
 
+def segments(c: Column | str) -> Column:
+    """The text in order as an array of (kind, piece): `math` for $...$, `text` for what lies between."""
+    marked = F.regexp_replace(text_of(c), r"(?<!\\)\$(?:\\.|[^$])+(?<!\\)\$", "\x01m$0\x01t")
+    pieces = F.filter(F.split(F.concat(F.lit("t"), marked), "\x01"), lambda p: F.length(p) > 1)
+    return F.transform(pieces, lambda p: F.struct(F.when(F.substring(p, 1, 1) == "m", "math").otherwise("text").alias("kind"), F.substr(p, F.lit(2)).alias("piece")))
+
+
 def render_units(c: Column | str) -> Column:
     """A text cut into formulas, white space, words, CJK characters and single other ones."""
     return F.regexp_extract_all(text_of(c), F.lit(rf"(?s){FORMULA}|(?U:\s+)|{WORD}(?:[/_-]{WORD})*|{CJK}|."), F.lit(0))

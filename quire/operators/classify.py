@@ -87,6 +87,20 @@ def reference_fragment(c: Column | str) -> Column:
     return (F.length(t) >= 20) & ~like(_ADDRESS) & (((years >= 1) & named) | ((years >= 1) & venue & listed) | (venue & named & paged))
 
 
+def reference_entry_strong(c: Column | str) -> Column:
+    """A sure entry: of 32 characters or more, with a year, two authors or `et al`, and a venue or another year."""
+    t = T.squeeze(c)
+    like = lambda p: F.regexp_like(t, F.lit(p))
+    years = T.count_of(t, _YEAR)
+    venue = like(r"(?i)\b(?:A&A|AJ|ApJ|ApJS|Conference|Journal|MNRAS|Proc[.]|Proceedings|Vol[.]|arXiv|doi|pp[.])\b")
+    return (F.length(t) >= 32) & (years >= 1) & ((T.count_of(t, _AUTHOR) >= 2) | like(r"(?i)\bet\s+al\b")) & (venue | (years >= 2))
+
+
+#: Whether a block may be rewritten (columns text, lid, can_rewrite, fallback_used, type, detected_type, font_key, fragile_meta).
+REWRITE_ALLOWED_SQL = f"""(coalesce(text, '') <> '' and lid is not null and can_rewrite and not fallback_used and not {any_part(REWRITE_PRESERVE, 'type', 'detected_type')}
+  and font_key not in ('title', 'heading') and not contains(lower(coalesce(nullif(detected_type, ''), type, '')), 'title') and not contains(lower(coalesce(nullif(detected_type, ''), type, '')), 'section_header') and not fragile_meta)"""
+
+
 def dense_probe_sql(text: str = "text") -> str:
     """Whether a body block is crowded: much text, formulas, or hardly two lines of room (columns bucket, height, size, line)."""
     chars = f"length(replace(replace({text}, ' ', ''), chr(10), ''))"
@@ -107,7 +121,7 @@ FILL_TARGET_SQL = """case when issue = 'OVERFLOW' then case when layout_mode = '
 
 SEVERE_SQL = """(font_key = 'body' and case
   when layout_mode = 'single_col' then fill_ratio < 0.70 or fill_ratio < greatest(0.01, threshold - 0.16) or (height >= 96 and fill_ratio < 0.80) or (safe_prose and fill_ratio < 0.82)
-  when layout_mode = 'double_col' then fill_ratio < 0.74 or fill_ratio < greatest(0.01, threshold - 0.14) or (height >= 72 and fill_ratio < 0.81) or (safe_prose and fill_ratio < 0.83) else false end)"""
+  when layout_mode = 'double_col' then fill_ratio < 0.74 or fill_ratio < greatest(0.01, threshold - 0.14) or (height >= 72 and fill_ratio < 0.81) or (safe_prose and fill_ratio < 0.83) else fill_ratio < 0.68 end)"""
 
 #: `risky`: formulas, LaTeX commands, theorem words or several boxes; `risky_double` leaves theorem words out.
 ATTEMPTS_SQL = """case when font_key <> 'body' then 1 when safe_prose and layout_mode in ('single_col', 'double_col') then case when severe then 5 else 4 end

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from quire.operators.layout import break_lines
+from quire.operators.layout import settle
 
 _FORMULA = re.compile(r"((?<!\\)[$](?:[^$]|\\.)+(?<!\\)[$])")
 _UNITS = re.compile(r"(?s)(?<!\\)[$](?:[^$]|\\.)+(?<!\\)[$]|\s+|[0-9A-Za-z]+(?:[/_-][0-9A-Za-z]+)*|[\u4e00-\u9fff]|.")
@@ -77,34 +77,136 @@ def spread(text: str, sources: list[str], room: list[float]) -> list[str]:
     return [" " if not piece and source else piece for piece, source in zip(out, sources)]
 
 
-def fit(text: str, sources: list[str], width: list[float], height: list[float], size: float, line: float, char: float) -> list[str]:
-    """The text in pieces that fit their boxes as far as they can, in order; the last takes the rest.
+STOPS, PAUSES = set("。！？；：.!?;:”\""), set("，、,）)】]」』》")
+
+
+def split_weight(source: str, width: float, height: float) -> int:
+    """How much of a text a box's source stands for: characters, six for a formula; small boxes weigh 24 at most."""
+    formulas = len(_FORMULA.findall(source))
+    weight = sum(map(len, _FORMULA.sub(" ", source).split())) + formulas * 6
+    return max(1, min(weight, 24) if width < 120 or height < 16 else weight)
+
+
+def bridges(left: str, right: str) -> bool:
+    """Whether the source runs on from one box into the next."""
+    left, right = left.strip(), right.strip()
+    return bool(left and right and left[-1] not in ".!?;:。！？；：" and re.match(r"[A-Za-z0-9\u4e00-\u9fff(\[\"“]", right))
+
+
+def _middles(low: int, high: int, depth: int) -> list[int]:
+    """The middles that a binary search may look at in its next steps."""
+    if low > high or not depth:
+        return []
+    mid = (low + high) // 2
+    return [mid, *_middles(low, mid - 1, depth - 1), *_middles(mid + 1, high, depth - 1)]
+
+
+class _Fitting:
+    """What runs of units do in boxes; each is laid out once, many at a time."""
+
+    def __init__(self, units: list[str], width: list[float], height: list[float], style: tuple[float, float, float]) -> None:
+        self.units, self.width, self.height, self.style = units, width, height, style
+        self.fill: dict[tuple[int, int, int], float] = {}
+        self.suffix: dict[tuple[int, int], bool] = {}
+
+    def lay(self, box: int, runs: list[tuple[int, int]]) -> None:
+        texts = {(a, b): "".join(self.units[a:b]).strip() for a, b in runs if (box, a, b) not in self.fill}
+        self.fill.update({(box, *run): np.inf for run, t in texts.items() if not t})
+        todo = [run for run, t in texts.items() if t]
+        if todo:
+            n = len(todo)
+            _, need, _ = settle([texts[r] for r in todo], *(np.full(n, x) for x in (self.width[box], self.height[box], *self.style)))
+            self.fill.update({(box, *run): x / self.height[box] if self.height[box] > 0 else np.inf for run, x in zip(todo, need)})
 
-    A piece is the longest run of render units that fits its box, but no longer than half
-    again the box's share of what is left by source weight; where nothing fits it is that
-    share. It ends at the last stop or comma among its last 24 units if there is one.
+    def fits(self, box: int, a: int, b: int) -> bool:
+        self.lay(box, [(a, b)])
+        return self.fill[box, a, b] <= 1.0
+
+    def longest(self, box: int, at: int, most: int) -> int | None:
+        """The last end that a binary search finds to fit."""
+        low, high, best = at + 1, most, None
+        while low <= high:
+            mid = (low + high) // 2
+            if (box, at, mid) not in self.fill:
+                self.lay(box, [(at, k) for k in _middles(low, high, 4)])
+            if self.fits(box, at, mid):
+                best, low = mid, mid + 1
+            else:
+                high = mid - 1
+        return best
+
+    def prefer(self, at: int, end: int) -> int:
+        return next((k for k in range(end, max(at + 1, end - 24) - 1, -1) if self.units[k - 1] in STOPS), end)
+
+    def rest_fits(self, box: int, at: int) -> bool:
+        """Whether the units from `at` on fit the boxes from `box` on."""
+        if (box, at) not in self.suffix:
+            self.suffix[box, at] = self._rest_fits(box, at)
+        return self.suffix[box, at]
+
+    def _rest_fits(self, box: int, at: int) -> bool:
+        if box == len(self.width):
+            return at >= len(self.units)
+        if box == len(self.width) - 1:
+            return self.fits(box, at, len(self.units))
+        most = len(self.units) - (len(self.width) - 1 - box)
+        best = self.longest(box, at, most) if most > at else None
+        if best is None:
+            return False
+        ends = dict.fromkeys([self.prefer(at, best), best, *range(best - 1, max(at + 1, best - 32) - 1, -1)])
+        self.lay(box, [(at, e) for e in ends if e > at])
+        return any(self.fits(box, at, e) and self.rest_fits(box + 1, e) for e in ends if e > at)
+
+    def score(self, box: int, at: int, end: int, bridge: bool) -> float:
+        fill = self.fill[box, at, end]
+        last, after = self.units[end - 1].strip(), self.units[end].strip() if end < len(self.units) else ""
+        if not bridge:
+            return fill + (0.06 if last in STOPS else 0.02 if last in PAUSES else 0.0)
+        score = fill + (-0.18 if last in STOPS else -0.03 if last in PAUSES else 0.08)
+        score += 0.0 if not after or after in STOPS else 0.01 if after in PAUSES else 0.08
+        return score + min(0.08, max(0.0, fill - 0.82))
+
+
+def fit(text: str, sources: list[str], width: list[float], height: list[float], size: float, line: float, char: float) -> list[str]:
+    """The text in pieces that fit their boxes, in order; the last takes the rest.
+
+    A piece may end where it fits its box, shrunk as far as styles allow, and where the
+    rest can still be made to fit the boxes that follow. Looked at are the longest piece
+    that fits, the one by source weight, each moved back to a stop among its last 24 units,
+    and all ends between and up to 48 units below them. The one of best score is taken:
+    fill, and a stop or a pause at its end, or, where the source runs on from box to box,
+    the lack of one; of equal scores the longest. Where none is possible the piece is that
+    by source weight. Pieces are stripped; a box that no unit is left for gets ''.
     """
+    if len(sources) <= 1:
+        return [text.strip() for _ in sources]
     units = _UNITS.findall(text)
-    weights = [max(1, sum(map(len, s.split()))) for s in sources]
-    out, at = [], 0
+    weights = [split_weight(s, w, h) for s, w, h in zip(sources, width, height)]
+    boxes, out, at = _Fitting(units, width, height, (size, line, char)), [], 0
     for box in range(len(sources) - 1):
-        low, high = at, len(units)
-        share = (len(units) - at) * weights[box] / sum(weights[box:])
-        high = min(high, at + max(1, int(share * 1.5)))
-        while low < high:
-            mid = (low + high + 1) // 2
-            heights, _ = break_lines(["".join(units[at:mid])], np.array([width[box]]), np.array([size]), np.array([line]), np.array([char]))
-            if np.maximum(heights, size * line).sum() <= height[box]:
-                low = mid
-            else:
-                high = mid - 1
-        low = low if low > at else min(len(units), at + int(share))
-        if low < len(units):
-            stops = [k for k in range(max(at, low - 24), low) if units[k] in SENTENCE or units[k] in CLAUSE]
-            low = stops[-1] + 1 if stops else low
-        out.append("".join(units[at:low]))
-        at = low
-    return [*out, "".join(units[at:])]
+        most = len(units) - (len(sources) - box - 1)
+        if most <= at:
+            out.append("")
+            continue
+        best = boxes.longest(box, at, most) or at + 1
+        share = max(1, round((most - at) * weights[box] / max(1, sum(weights[box:]))))
+        aim = boxes.prefer(at, min(most, max(at + 1, at + share)))
+        low, high = max(at + 1, min(best, aim) - 48), max(best, aim)
+        ends = dict.fromkeys([aim, boxes.prefer(at, best), best, *range(high - 1, low - 1, -1)])
+        boxes.lay(box, [(at, e) for e in ends])
+        if box == len(sources) - 2:
+            boxes.lay(box + 1, [(e, len(units)) for e in ends])
+        bridge = bridges(sources[box], sources[box + 1])
+        chosen, top = None, -np.inf
+        for e in ends:
+            if boxes.fits(box, at, e) and boxes.rest_fits(box + 1, e):
+                score = boxes.score(box, at, e, bridge)
+                if score > top or (abs(score - top) < 1e-6 and (chosen is None or e > chosen)):
+                    chosen, top = e, score
+        end = aim if chosen is None else chosen
+        out.append("".join(units[at:end]).strip())
+        at = end
+    return [*out, "".join(units[at:]).strip()]
 
 
 @F.arrow_udf(S.ArrayType(S.StringType()))

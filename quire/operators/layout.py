@@ -120,6 +120,118 @@ def line_heights(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array,
 RESOLVED_SIZE_SQL = "case when locked then size when size < 8 then 9.5 when size > 14 then 11.5 else greatest(9.5, least(11.5, size)) end"
 
 
+LEAST_SIZE, MOST_SIZE = 9.5, 11.5
+#: Characters that the grid of a few rows lays out at once.
+GRID_CHARS = 400_000
+
+
+def resolved(size: np.ndarray) -> np.ndarray:
+    """The size that is drawn for a style that isn't locked (RESOLVED_SIZE_SQL)."""
+    return np.where(size < 8, LEAST_SIZE, np.where(size > 14, MOST_SIZE, np.clip(size, LEAST_SIZE, MOST_SIZE)))
+
+
+def heights_of(texts: list[str], width: np.ndarray, size: np.ndarray, line: np.ndarray, char: np.ndarray) -> np.ndarray:
+    """The height that each text needs."""
+    heights, bounds = break_lines(texts, width, size, line, char)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    return np.bincount(owner, np.maximum(heights, (size * line)[owner]), len(texts))
+
+
+def _grid(texts: list[str], width: np.ndarray, sizes: list, chars: list, lines: list) -> list[np.ndarray]:
+    """Of each row, the heights for all of sizes x chars x lines.
+
+    Sizes that are drawn alike are laid out once; only texts with formulas are broken for each line.
+    """
+    drawn = [np.unique(resolved(np.array(s, float)), return_inverse=True) for s in sizes]
+    sizes = [s for s, _ in drawn]
+    n = np.array([len(s) * len(c) for s, c in zip(sizes, chars)])
+    row = np.repeat(np.arange(len(texts)), n)
+    size = np.concatenate([np.repeat(s, len(c)) for s, c in zip(sizes, chars)])
+    char = np.concatenate([np.tile(c, len(s)) for s, c in zip(sizes, chars)]).astype(float)
+    most = max(map(len, lines))
+    spacing = np.array([[*x, *[x[-1]] * (most - len(x))] for x in lines], float)[row]
+    many = [texts[k] for k in row]
+    heights, bounds = break_lines(many, width[row], size, spacing[:, 0], char)
+    owner = np.repeat(np.arange(len(row)), np.diff(bounds))
+    needs = np.stack([np.bincount(owner, np.maximum(heights, (size * spacing[:, j])[owner]), len(row)) for j in range(most)], axis=1)
+    math = np.flatnonzero(np.array(["$" in t for t in texts])[row])
+    for j in range(1, most) if len(math) else ():
+        needs[math, j] = heights_of([many[k] for k in math], width[row][math], size[math], spacing[math, j], char[math])
+    ends = np.cumsum(n)
+    return [needs[e - k : e, : len(x)].reshape(len(s), -1)[back].reshape(-1) for e, k, x, (s, back) in zip(ends, n, lines, drawn)]
+
+
+_STYLE = ["size", "line", "char", "need", "score"]
+
+
+@F.arrow_udf(S.StructType([S.StructField(c, S.DoubleType()) for c in _STYLE]))
+def best_styles(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """(text, sizes, chars, lines, width, height, safe height, target, base size, line, char, body, wide) -> the style of least score."""
+    for batch in batches:
+        texts, grids = batch[0].to_pylist(), [x.to_pylist() for x in batch[1:4]]
+        numbers = np.stack([np.nan_to_num(x.cast(pa.float64()).to_numpy(zero_copy_only=False)) for x in batch[4:]], axis=1)
+        cost = np.cumsum([(len(t) + 8) * len(s) * len(c) for t, s, c in zip(texts, grids[0], grids[1])])
+        out, at = [], 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + GRID_CHARS)))
+            needs = _grid(texts[at:to], numbers[at:to, 0], *(g[at:to] for g in grids))
+            out += [_least(need, *(np.array(g[k], float) for g in grids), numbers[k]) for k, need in enumerate(needs, at)]
+            at = to
+        yield pa.StructArray.from_arrays([pa.array([row[k] for row in out], pa.float64()) for k in range(len(_STYLE))], _STYLE)
+
+
+def _least(needs: np.ndarray, sizes: np.ndarray, chars: np.ndarray, lines: np.ndarray, row: np.ndarray) -> tuple[float, ...]:
+    """The first style of least score, in order of (size, line, char)."""
+    _, height, safe, target, size, line, char, body, wide = row
+    need = needs.reshape(len(sizes), len(chars), len(lines)).transpose(0, 2, 1)
+    s, n, c = sizes[:, None, None], lines[None, :, None], chars[None, None, :]
+    score = np.where(need > height, 1500.0, np.where(need > safe, 450.0, 0.0)) + np.abs(need / safe - target) * 120.0 + np.abs(n - line) * 35.0 + np.abs(c - char) * 400.0
+    score = np.round(score + np.maximum(0.0, s - size) * (30.0 if body else 10.0) + np.maximum(0.0, n - line) * (55.0 if wide else 0.0) - s * 0.05, 4)
+    i, j, k = np.unravel_index(score.argmin(), score.shape)
+    return float(sizes[i]), float(lines[j]), float(chars[k]), float(need[i, j, k]), float(score[i, j, k])
+
+
+def settle(texts: list[str], width: np.ndarray, height: np.ndarray, size: np.ndarray, line: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes shrunk until texts fit, as (size, height needed, steps taken); steps are 0 where the first size fits.
+
+    Each step takes 0.95 of the proportion of room to need, but no size below LEAST_SIZE;
+    it ends there, after 20 steps, or where the text fits.
+    """
+    size = resolved(size)
+    need, steps = heights_of(texts, width, size, line, char), np.zeros(len(texts), np.int64)
+    open_ = np.flatnonzero((need > height) & (need > 0))
+    for _ in range(20):
+        if not len(open_):
+            break
+        smaller = np.maximum(LEAST_SIZE, size[open_] * (height[open_] / need[open_]) * 0.95)
+        size[open_], steps[open_] = smaller, steps[open_] + 1
+        need[open_] = heights_of([texts[k] for k in open_], width[open_], resolved(smaller), line[open_], char[open_])
+        open_ = open_[(need[open_] > height[open_]) & (smaller > LEAST_SIZE)]
+    return size, need, steps
+
+
+@F.arrow_udf(S.StructType([S.StructField("size", S.DoubleType()), S.StructField("need", S.DoubleType()), S.StructField("steps", S.LongType())]))
+def _settled(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for text, *numbers in batches:
+        parts = settle(text.to_pylist(), *(np.nan_to_num(x.cast(pa.float64()).to_numpy(zero_copy_only=False)) for x in numbers))
+        yield pa.StructArray.from_arrays([pa.array(x) for x in parts], ["size", "need", "steps"])
+
+
+def accordion(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, size, action, scale, fill_ratio: texts shrunk to their boxes, never cut (columns text, width, height, size, line, char, locked).
+
+    Actions: locked (as it is), none (it fits), scale_down, overflow_accepted (too long at
+    the least size). scale is the new size over the first; boxes without room keep theirs,
+    without an action.
+    """
+    r = rows.withColumn("_f", _settled(T.text_of("text"), *(F.col(c).cast("double") for c in ("width", "height", "size", "line", "char"))))
+    solid, fits = (F.col("width") > 0) & (F.col("height") > 0), F.col("_f.need") <= F.col("height")
+    action = F.when(F.col("locked"), "locked").when(~solid, None).when(F.col("_f.steps") == 0, "none").when(fits, "scale_down").otherwise("overflow_accepted")
+    kept = action.isNull() | action.isin("locked", "none")
+    base = F.expr(RESOLVED_SIZE_SQL).cast("double")
+    return r.select(*keys, F.when(kept, F.col("size").cast("double")).otherwise(F.col("_f.size")).alias("size"), action.alias("action"), F.when(action == "scale_down", F.col("_f.size") / base).alias("scale"), F.when(solid & ~F.col("locked"), F.col("_f.need") / F.col("height")).alias("fill_ratio"))
+
+
 def needed_height(heights: Column, line_height: Column) -> Column:
     return F.aggregate(heights, F.lit(0.0), lambda s, h: s + F.greatest(h, line_height))
 
@@ -173,24 +285,20 @@ def probe(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The style of least score for each block: keys, size, line, char, fill_ratio, overflow_px, score.
 
     rows: keys, bucket, text, width, height, size, line, char (the base style), dense,
-    density, avg_length, layout_mode. The grid is sizes by lines by spacings; where lines
-    break doesn't depend on the line spacing, so texts are broken for (size, spacing) only.
-    Of equal scores the first in order of (size, line, char) wins.
+    density, avg_length, layout_mode. The grid is sizes by lines by spacings; it stays in
+    arrays of its row, so nothing is exploded or shuffled. Of equal scores the first in
+    order of (size, line, char) wins.
     """
     r = rows.withColumns({"target": F.expr(TARGET_FILL_SQL).cast("double"), "safe_height": F.greatest(F.lit(1.0), F.col("height") * F.expr(SAFE_BOX_SQL)), "locked": F.lit(False)})
     r = r.withColumnsRenamed({"size": "b_size", "line": "b_line", "char": "b_char"})
-    r = r.withColumn("size", F.explode(size_candidates(F.col("b_size"), F.col("bucket"), F.col("dense")))).withColumn("char", F.explode(char_candidates(F.col("b_char"))))
-    # formulas depend on the line height; their line spacing is the base one
-    r = r.withColumn("_s", F.expr(RESOLVED_SIZE_SQL).cast("double")).withColumn("_h", line_heights(F.col("text"), F.col("width"), F.col("_s"), F.col("b_line"), F.col("char")))
-    r = r.withColumn("line", F.explode(line_candidates(F.col("b_line"), F.col("bucket"), F.col("layout_mode"))))
-    r = r.withColumn("need", needed_height(F.col("_h"), F.col("_s") * F.col("line"))).withColumn("fill", F.col("need") / F.col("safe_height"))
+    r = r.withColumns({"sizes": size_candidates(F.col("b_size"), F.col("bucket"), F.col("dense")), "chars": char_candidates(F.col("b_char")), "lines": line_candidates(F.col("b_line"), F.col("bucket"), F.col("layout_mode"))})
     body = F.col("bucket") == "body"
-    penalty = F.when(F.col("need") > F.col("height"), 1500.0).when(F.col("need") > F.col("safe_height"), 450.0).otherwise(0.0)
-    score = penalty + F.abs(F.col("fill") - F.col("target")) * 120.0 + F.abs(F.col("line") - F.col("b_line")) * 35.0 + F.abs(F.col("char") - F.col("b_char")) * 400.0
-    score = score + F.greatest(F.lit(0.0), F.col("size") - F.col("b_size")) * F.when(body, 30.0).otherwise(10.0) + F.when(body & (F.col("layout_mode") == "single_col"), F.greatest(F.lit(0.0), F.col("line") - F.col("b_line")) * 55.0).otherwise(0.0) - F.col("size") * 0.05
-    r = r.withColumn("score", F.round(score, 4))
-    best = F.min_by(F.struct("size", "line", "char", F.round("fill", 4).alias("fill_ratio"), F.round(F.greatest(F.lit(0.0), F.col("need") - F.col("safe_height")), 4).alias("overflow_px"), "score"), F.struct("score", "size", "line", "char"))
-    return r.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+    wide = body & (F.col("layout_mode") == "single_col")
+    numbers = [F.col(c).cast("double") for c in ("width", "height", "safe_height", "target", "b_size", "b_line", "b_char")]
+    best = best_styles(T.text_of("text"), "sizes", "chars", "lines", *numbers, body.cast("double"), F.coalesce(wide, F.lit(False)).cast("double"))
+    r = r.select(*keys, "safe_height", best.alias("b")).select(*keys, "safe_height", "b.*")
+    over = F.greatest(F.lit(0.0), F.col("need") - F.col("safe_height"))
+    return r.select(*keys, "size", "line", "char", F.round(F.col("need") / F.col("safe_height"), 4).alias("fill_ratio"), F.round(over, 4).alias("overflow_px"), "score")
 
 
 def fill_score(fill: Column, overflow: Column, target: Column, limit: Column) -> Column:

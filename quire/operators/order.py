@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import classify as C
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
@@ -41,6 +42,37 @@ def contexts(blocks: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "lid", F.trim(F.array_join(F.transform("parts", lambda p: p["text"]), " ")).alias("context"))
 
 
+def siblings(blocks: DataFrame) -> DataFrame:
+    """doc_id, lid, type, idxs, source, translated: blocks of one paragraph and one raw type, in reading order.
+
+    source is their text joined by blanks, translated theirs without any. NULL types are a
+    type of their own; blocks without lid are left out.
+    """
+    part = F.struct("place", "idx", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("translated", F.lit("")).alias("translated"))
+    grouped = reading_order(blocks).groupBy("doc_id", "lid", "type").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    return grouped.select("doc_id", "lid", "type", F.expr("transform(p, x -> x.idx)").alias("idxs"), F.array_join(F.expr("transform(p, x -> x.text)"), " ").alias("source"), F.array_join(F.expr("transform(p, x -> x.translated)"), "").alias("translated"))
+
+
+def reference_sections(blocks: DataFrame) -> DataFrame:
+    """doc_id, lid, preserve, in_section: which paragraphs stay untranslated as references.
+
+    A paragraph is preserved if its text is a heading such as References or any of its
+    blocks has a reference type. in_section: a heading or a first block of such a type
+    comes at or before its own place, by page and top of first blocks (ties count as one place).
+    """
+    typed = F.contains(F.lower(F.coalesce("type", F.lit(""))), F.lit("reference"))
+    grouped = blocks.where("lid is not null").groupBy("doc_id", "lid").agg(F.max(typed).alias("any_typed"), F.min(F.struct("page_idx", "y0", "idx", typed.alias("typed"))).alias("first"))
+    rows = grouped.join(contexts(blocks), ["doc_id", "lid"]).withColumn("heading", C.reference_heading("context"))
+    begun = Window.partitionBy("doc_id").orderBy("first.page_idx", "first.y0")
+    return rows.select("doc_id", "lid", (F.col("heading") | F.col("any_typed")).alias("preserve"), F.max(F.col("heading") | F.col("first.typed")).over(begun).alias("in_section"))
+
+
+def recovery_examples(recovered: DataFrame, limit: int = 5) -> DataFrame:
+    """doc_id, nth, page_no, source, excerpt: the first recovered blocks of each document by idx, 140 characters of each."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))
+    return recovered.where("recovered is not null").withColumn("nth", nth).where(F.col("nth") <= limit).select("doc_id", "nth", (F.col("page_idx") + 1).alias("page_no"), "source", F.substring("recovered", 1, 140).alias("excerpt"))
+
+
 def first_blocks(blocks: DataFrame) -> DataFrame:
     """The first block of each paragraph by (page, top), without regard to columns."""
     return blocks.where("lid is not null").groupBy("doc_id", "lid").agg(F.min_by("idx", F.struct("page_idx", "y0", "idx")).alias("first_idx"), F.count("*").alias("boxes"))

@@ -50,6 +50,22 @@ def round_summary(log: DataFrame) -> DataFrame:
     return log.where("accepted").groupBy("round").agg(F.count_distinct("lid").alias("processed"), F.count("*").alias("steps"), F.count_if(F.col("to_state").isin(*STABLE)).alias("settled"))
 
 
+def round_counts(log: DataFrame, actions: DataFrame) -> DataFrame:
+    """round, kind, name, n: what happened in each round, by action, issue, result (state reached) and transition.
+
+    log: replay(); actions: lid, seq, round, actions, issue. Refused steps are no results.
+    """
+    moved = log.where("accepted")
+    parts = [
+        actions.select("round", F.lit("action").alias("kind"), F.explode("actions").alias("name")),
+        actions.where("issue is not null").select("round", F.lit("issue").alias("kind"), F.col("issue").alias("name")),
+        moved.select("round", F.lit("result").alias("kind"), F.col("to_state").alias("name")),
+        moved.select("round", F.lit("transition").alias("kind"), F.concat_ws("->", "from_state", "to_state").alias("name")),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return rows.groupBy("round", "kind", "name").agg(F.count("*").alias("n"))
+
+
 def attribution(actions: DataFrame) -> DataFrame:
     """Counts over an action log: kind (stage, action or issue), name, n. A missing stage counts as unknown."""
     stage = actions.select(F.lit("stage").alias("kind"), F.coalesce("stage", F.lit("unknown")).alias("name"))

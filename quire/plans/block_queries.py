@@ -141,12 +141,12 @@ register("w3_first_blocks", lambda s, d: order.first_blocks(blocks(s, d)), W + "
 register("w5_columns", lambda s, d: blocks(s, d).groupBy("doc_id", "page_idx", order.column_of(PAGE_WIDTH).alias("col")).agg(F.count("*").alias("n")), W + " select doc_id, page_idx, case when (x0 + x1) / 2 < 252 then 'left' when (x0 + x1) / 2 > 348 then 'right' else 'full' end as col, count(*) as n from blocks group by all")
 
 
-def _recovered(spark, d):
+def recovered_rows(spark, d):
     b = blocks(spark, d).withColumns({"local_md": F.concat(F.lit("**"), F.col("text"), F.lit("**")), "pdf_text": F.when(F.col("idx") % 2 == 0, F.col("text")), "text": F.when(F.col("idx") % 3 == 0, F.lit("(1) (2)")).otherwise(F.col("text"))})
-    return order.recover(b).select(*_KEY, "recovered", "source")
+    return order.recover(b)
 
 
-register("f8_recover", _recovered)
+register("f8_recover", lambda s, d: recovered_rows(s, d).select(*_KEY, "recovered", "source"))
 
 # Statistics ------------------------------------------------------------------------------
 _PROF = "select doc_id, count(*) as block_count, count(*) filter (t) as text_block_count, coalesce(avg(n) filter (t), 0) as avg_text_length, coalesce(median(area / greatest(1, n)) filter (t and area > 0), 0) as median_source_density, coalesce(avg(area) filter (t and area > 0), 0) as avg_bbox_area from p group by doc_id"
@@ -279,16 +279,16 @@ register("a5_attribution", lambda s, d: state.attribution(action_log(transitions
   k as (select 'stage' as kind, coalesce(stage, 'unknown') as name from action_log union all select 'action', unnest(actions) from action_log union all select 'issue', issue from action_log where issue is not null) select kind, name, count(*) as n from k group by all""")
 
 # Layout ----------------------------------------------------------------------------------
-def _boxes(spark, d):
-    return blocks(spark, d).where(~F.contains("text", F.lit("$"))).withColumns({"line": F.lit(1.35), "char": F.lit(0.05), "locked": F.lit(True)})
+def boxes(spark, d):
+    return blocks(spark, d).withColumns({"line": F.lit(1.35), "char": F.lit(0.05), "locked": F.lit(True)})
 
 
 def _simulated(spark, d):
-    s = layout.simulate(_boxes(spark, d))
+    s = layout.simulate(boxes(spark, d).where(~F.contains("text", F.lit("$"))))
     return s.select(*_KEY, F.col("line_count").cast("long").alias("line_count"), F.round("needed_height", 6).alias("needed_height"), "is_overflow")
 
 
-#: The same greedy wrap as a fold over characters: struct of pen position and lines so far.
+#: Texts without formulas (c1_formulas has those with): the same greedy wrap as a fold over characters: struct of pen position and lines so far.
 register("c1_simulate", _simulated, W + """,
   c as (select doc_id, idx, size, width, height, list_transform(string_split(text, ''), lambda x: {'a': case when x in (' ', chr(9), chr(13)) then 0.3 * size else 0.6 * size end::double, 'n': 1::bigint}) as cs from blocks where not contains(text, '$')),
   f as (select *, list_reduce(cs, lambda s, x: case when s.a > 0 and s.a + x.a > width + 1e-9 then {'a': x.a + 0.05::double, 'n': s.n + 1} else {'a': s.a + x.a + 0.05::double, 'n': s.n} end, {'a': 0::double, 'n': 1::bigint}) as r from c)
@@ -298,7 +298,7 @@ register("c1_simulate", _simulated, W + """,
 def _probe_rows(spark, d):
     b = blocks(spark, d)
     p = stats.document_profile(b).select("doc_id", F.col("median_source_density").alias("density"), F.col("avg_text_length").alias("avg_length"))
-    r = b.where("doc_id % 10 = 0").join(p, "doc_id").join(stats.layout_mode(b, PAGE_WIDTH), "doc_id").withColumns({"bucket": C.bucket(), "line": F.lit(1.35), "char": F.lit(0.05), "math_segments": T.math_segments("text")})
+    r = b.repartition("doc_id").join(p, "doc_id").join(stats.layout_mode(b, PAGE_WIDTH), "doc_id").withColumns({"bucket": C.bucket(), "line": F.lit(1.35), "char": F.lit(0.05), "math_segments": T.math_segments("text")})
     return r.withColumn("dense", F.expr(C.dense_probe_sql()))
 
 
@@ -307,7 +307,7 @@ register("a10_frozen_styles", lambda s, d: stats.freeze_series(layout.probe(_pro
 
 
 def _tuned(spark, d):
-    b = _boxes(spark, d).join(stats.layout_mode(blocks(spark, d), PAGE_WIDTH), "doc_id")
+    b = boxes(spark, d).join(stats.layout_mode(blocks(spark, d), PAGE_WIDTH), "doc_id")
     extra = {"font_key": F.when(C.bucket() == "title", "title").otherwise("body"), "is_title": C.bucket() == "title", "fragile_meta": F.lit(False), "multi_box": F.lit(False), "safe_prose": F.lit(True), "prose_heavy": F.lit(False), "chars": F.length(T.compact("text")), "math_segments": F.lit(0), "global_min": F.lit(0.02), "global_max": F.lit(0.08), "max_delta": F.lit(0.035), "can_rewrite": F.col("lid").isNotNull()}
     r = b.withColumns(extra)
     return r.withColumns({"threshold": F.expr(C.UNDERFLOW_SQL).cast("double"), "limit": F.expr(C.SAFE_FILL_SQL).cast("double"), "mathy": F.lit(False)})

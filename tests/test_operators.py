@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import classify, coverage, distribute, experiments, layout, model, order, reflow, spatial, state, stats
+from quire.plans import block_queries, paragraph_queries  # noqa: F401
+from quire.plans.catalog import QUERIES
 from quire.sources import corpus
+from tests.conftest import SMALL
 
 
 def test_coverage_labels(spark):
@@ -118,8 +121,100 @@ def test_spread_stops_at_sentences():
 
 def test_fit_gives_the_text_again():
     text = "one two, three four. five six seven eight nine ten"
-    pieces = distribute.fit(text, ["x" * 10, "x" * 10, "x"], [60.0, 60.0, 60.0], [30.0, 30.0, 30.0], 10.0, 1.3, 0.0)
-    assert "".join(pieces) == text and pieces[0].strip().endswith((",", "."))
+    pieces = distribute.fit(text, ["x" * 10 + ".", "x" * 10, "x"], [200.0, 200.0, 200.0], [30.0, 30.0, 30.0], 10.0, 1.3, 0.0)
+    assert "".join("".join(pieces).split()) == "".join(text.split())
+    assert distribute.fit("", ["a", "b"], [50.0, 50.0], [20.0, 20.0], 10.0, 1.3, 0.0) == ["", ""]
+
+
+def test_fit_leaves_what_the_next_box_can_hold():
+    """The first box could take all but one word; the second has room for most, and the score fills the first."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    tight = distribute.fit(words, ["source runs", "on here"], [60.0, 60.0], [100.0, 30.0], 10.0, 1.3, 0.0)
+    heights = layout.heights_of(tight, np.full(2, 60.0), np.full(2, 10.0), np.full(2, 1.3), np.zeros(2))
+    assert " ".join(tight) == words and (heights <= [100.0, 30.0]).all() and tight[0]
+    assert distribute.bridges("runs", "on") and not distribute.bridges("ends.", "On")
+
+
+def test_fit_matches_a_search_of_all_ends():
+    """Two boxes: no allowed end scores better than the one taken."""
+    rng = random.Random(9)
+    for _ in range(15):
+        text = " ".join(rng.choice(["aa", "bbb,", "c.", "dddd", "$x^2$"]) for _ in range(rng.randrange(4, 30)))
+        width, height = [rng.choice([40.0, 130.0])] * 2, [rng.choice([25.0, 60.0]), 200.0]
+        source = [rng.choice(["abc.", "abc"]), "def"]
+        got = distribute.fit(text, source, width, height, 10.0, 1.3, 0.0)
+        units = distribute._UNITS.findall(text)
+        boxes = distribute._Fitting(units, width, height, (10.0, 1.3, 0.0))
+        allowed = {e: boxes.score(0, 0, e, distribute.bridges(*source)) for e in range(1, len(units)) if boxes.fits(0, 0, e) and boxes.rest_fits(1, e)}
+        taken = [e for e in range(1, len(units)) if "".join(units[:e]).strip() == got[0]]
+        if allowed:
+            assert max(allowed.values()) - max(allowed.get(e, -9) for e in taken) < 1e-6
+
+
+def plain_height(text, width, size, line, char):
+    """Greedy wrapping of one text, unit by unit."""
+    adv, high, _ = layout._units([text], np.array([width]), np.array([size]), np.array([line]))
+    total, tallest, pen, first = 0.0, 0.0, 0.0, True
+    for a, h in zip(adv, high):
+        if np.isnan(a) or (not first and pen + a > width + 1e-9):
+            total += max(tallest, 1.06 * size, size * line)
+            tallest, pen, first = 0.0, 0.0, True
+        if not np.isnan(a):
+            tallest, pen, first = max(tallest, h), pen + a + char, False
+    return total + max(tallest, 1.06 * size, size * line) if len(adv) else 0.0
+
+
+def test_layout_with_formulas_matches_plain_loops(spark):
+    """c1_formulas and c12_accordion over all blocks of the smallest tables, text by text."""
+    b = block_queries.boxes(spark, SMALL)
+    rows = {(r.doc_id, r.idx): r for r in b.collect() if "$" in r.text}
+    got = QUERIES["c1_formulas"](spark, SMALL).collect()
+    assert len(got) == len(rows) > 0
+    for g in got:
+        r = rows[g.doc_id, g.idx]
+        assert abs(g.needed_height - plain_height(r.text, r.width, r.size, 1.35, 0.05)) < 1e-5
+    for g in QUERIES["c12_accordion"](spark, SMALL).collect():
+        if g.action in ("scale_down", "overflow_accepted", "none") and (g.doc_id, g.idx) in rows:
+            r = rows[g.doc_id, g.idx]
+            size = float(layout.resolved(np.array([g.size]))[0])
+            need = plain_height(r.text, r.width, size, 1.35, 0.05)
+            assert abs(g.fill_ratio * r.height - need) < 1e-5 and (need <= r.height) == (g.action != "overflow_accepted")
+            assert g.action != "overflow_accepted" or g.size == layout.LEAST_SIZE
+
+
+def test_probe_matches_plain_loops(spark):
+    """The whole grid, text by text, for blocks with and without formulas."""
+    rows = block_queries._probe_rows(spark, SMALL).where("contains(text, '$') or idx % 9 = 0")
+    best = {(r.doc_id, r.idx): r for r in layout.probe(rows, ["doc_id", "idx"]).collect()}
+    r0 = rows.withColumns({"sizes": layout.size_candidates(F.col("size"), F.col("bucket"), F.col("dense")), "chars": layout.char_candidates(F.col("char")), "lines": layout.line_candidates(F.col("line"), F.col("bucket"), F.col("layout_mode")), "target": F.expr(layout.TARGET_FILL_SQL).cast("double"), "safe": F.greatest(F.lit(1.0), F.col("height") * F.expr(layout.SAFE_BOX_SQL))}).limit(40).collect()
+    for r in r0:
+        scores = []
+        for s in r.sizes:
+            for c in r.chars:
+                for n in r.lines:
+                    need = plain_height(r.text, r.width, float(layout.resolved(np.array([s]))[0]), n, c)
+                    score = (1500 if need > r.height else 450 if need > r.safe else 0) + abs(need / r.safe - r.target) * 120 + abs(n - r.line) * 35 + abs(c - r.char) * 400
+                    score += max(0, s - r["size"]) * (30 if r.bucket == "body" else 10) + (max(0, n - r.line) * 55 if r.bucket == "body" and r.layout_mode == "single_col" else 0) - s * 0.05
+                    scores.append(score)
+        assert abs(best[r.doc_id, r.idx].score - min(scores)) < 2e-3
+
+
+def test_recovery_examples_are_the_first_five(spark):
+    rows = block_queries.recovered_rows(spark, SMALL).collect()
+    want = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.idx)):
+        if r.recovered is not None and len(want.setdefault(r.doc_id, [])) < 5:
+            want[r.doc_id].append((r.page_idx + 1, r.source, r.recovered[:140]))
+    got = {}
+    for r in QUERIES["t3_recovery_examples"](spark, SMALL).orderBy("doc_id", "nth").collect():
+        got.setdefault(r.doc_id, []).append((r.page_no, r.source, r.excerpt))
+    assert got == want and got
+
+
+def test_severe_underflow_by_layout(spark):
+    rows = [("single_col", 0.69, True), ("single_col", 0.75, False), ("double_col", 0.73, True), ("double_col", 0.75, False), ("other", 0.67, True), ("other", 0.69, False)]
+    df = spark.createDataFrame([(*r, "body", 0.5, 20.0, False) for r in rows], "layout_mode string, fill_ratio double, want boolean, font_key string, threshold double, height double, safe_prose boolean")
+    assert all(r.want == r.got for r in df.withColumn("got", F.expr(classify.SEVERE_SQL)).collect())
 
 
 def test_state_machine(spark):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quire.plans import block_queries, experiment_queries, style_queries  # noqa: F401
+from quire.plans import block_queries, experiment_queries, paragraph_queries, style_queries  # noqa: F401
 from quire.plans.catalog import ORACLES, QUERIES
 from tests.conftest import SMALL, duck_rows, spark_rows
 
