@@ -313,7 +313,7 @@ def test_join_finds_pairs_that_share_only_common_grams(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_boundary_of_least_cost_has_sets_on_both_sides(spark):
+def test_short_sets_in_long_lists_and_long_sets_in_short_ones(spark):
     """Short texts of few words are in long lists, long ones in short lists."""
     rng = random.Random(4)
     docs = [" ".join(f"s{rng.randrange(3)}" for _ in range(6)) for _ in range(300)]
@@ -321,12 +321,6 @@ def test_boundary_of_least_cost_has_sets_on_both_sides(spark):
         w = [f"l{rng.randrange(10**6)}" for _ in range(300)]
         docs += [" ".join(w), " ".join(w[:-20])]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    plan = ngram_join.Plan(0.5)
-    live = ngram_join.live_tokens(ngram_join.distinct_sets(ngram_join.signatures(df, 3, plan)))
-    limit = ngram_join.boundary(live, plan)
-    assert 0 < limit < live.agg(F.max("n")).first()[0]
-    kinds = {r.kind for r in ngram_join.keyed(live, plan, limit).select("kind").distinct().collect()}
-    assert {ngram_join.LARGE, ngram_join.SUBSET} <= kinds
     sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in enumerate(docs) for w in [t.split()]}
     first = {}
     for i, x in sets.items():
@@ -334,3 +328,44 @@ def test_boundary_of_least_cost_has_sets_on_both_sides(spark):
     want = {(a, b) for a in first.values() for b in first.values() if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
     want |= {(first[frozenset(x)], i) for i, x in sets.items() if first[frozenset(x)] != i}
     assert {(r.doc_id_a, r.doc_id_b) for r in ngram_join.ngram_jaccard_join(df).collect()} == want
+
+
+def test_join_misses_no_pair_just_at_the_threshold(spark):
+    """Texts that share 40 of 80 grams, of which none is among the 13 of least hash of the longer one."""
+    docs = []
+    for seed in (991, 74323, 81993, 92827, 122217, 156374):
+        r = random.Random(seed)
+        w = [f"w{r.randrange(10**9)}" for _ in range(82)]
+        docs += [(len(docs), " ".join(w[:42])), (len(docs) + 1, " ".join(w))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r.doc_id_a, r.doc_id_b, r.jaccard) for r in ngram_join.ngram_jaccard_join(df).collect()]
+    assert sorted(got) == [(i, i + 1, 0.5) for i in range(0, 12, 2)]
+
+
+def test_classes_count_the_links_of_crowds(spark, monkeypatch):
+    """Crowds of edited texts with copies, by lists that meet whole and by parts; links as brute force has them."""
+    rng = random.Random(6)
+    docs = []
+    for c in range(4):
+        base = [f"t{c}x{rng.randrange(3000)}" for _ in range(90)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randrange(1, 16)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(40)}"
+            docs += [" ".join(w)] * rng.choice([1, 1, 2])
+    docs += ["", "one two three four", "five"]
+    sets = [frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else None for w in map(str.split, docs)]
+    links = {x: {y for y in sets if x and y and x != y and 2 * len(x & y) >= len(x | y)} for x in sets}
+    want = []
+    for i, x in enumerate(sets):
+        seen, todo = {x}, [x] if x else []
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        want.append((i, min(k for k, y in enumerate(sets) if y in seen) if x else i, len(links[x])))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for block, size in ((64, 2000), (5, 7), (10**6, 2000)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "LIST", size)
+        assert sorted(tuple(r) for r in ngram_join.classes(df).collect()) == want
