@@ -369,3 +369,13 @@ def test_classes_count_the_links_of_crowds(spark, monkeypatch):
         monkeypatch.setattr(ngram_join, "BLOCK", block)
         monkeypatch.setattr(ngram_join, "LIST", size)
         assert sorted(tuple(r) for r in ngram_join.classes(df).collect()) == want
+
+
+def test_suffixes_of_one_hash_are_sorted_as_one(monkeypatch):
+    """A passage in 500 texts, each with a word of its own at the end: the sort sees one suffix, not 1,000."""
+    w = words([" ".join([*(f"c{k}" for k in range(50)), f"u{i}"]) for i in range(500)], lower=False)
+    start = np.concatenate([w.bounds[:-1], w.bounds[:-1] + 1])
+    seen, sort = [], suffix_dedup.merge_sort
+    monkeypatch.setattr(suffix_dedup, "merge_sort", lambda h, s, *rest: seen.append(len(s)) or sort(h, s, *rest))
+    got = suffix_dedup.classes(w, start, np.repeat([0, 1], 500), 50)
+    assert seen == [1] and len(set(got[:500])) == 1 and len(set(got)) == 501
