@@ -379,3 +379,12 @@ def test_suffixes_of_one_hash_are_sorted_as_one(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "merge_sort", lambda h, s, *rest: seen.append(len(s)) or sort(h, s, *rest))
     got = suffix_dedup.classes(w, start, np.repeat([0, 1], 500), 50)
     assert seen == [1] and len(set(got[:500])) == 1 and len(set(got)) == 501
+
+
+def test_workers_give_memory_back_after_the_last_batch(monkeypatch):
+    from quire.llm import common
+
+    trims = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda _: type("C", (), {"malloc_trim": staticmethod(trims.append)}))
+    out = common.trimmed(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(out) == 2 and not trims and list(out) == [3] and trims == [0]
