@@ -371,6 +371,44 @@ def test_classes_count_the_links_of_crowds(spark, monkeypatch):
         assert sorted(tuple(r) for r in ngram_join.classes(df).collect()) == want
 
 
+def test_packed_keys_come_back_as_they_were():
+    rng = np.random.default_rng(3)
+    cases = [[5], [0, 2**48 - 1], [7, 7, 7], np.sort(rng.integers(0, 2**48, 5000)), np.sort(rng.integers(2**40, 2**40 + 900, 2000))]
+    for keys in cases:
+        keys = np.array(keys, np.uint64)
+        for most in (1, 2**9, 2**20):
+            owner, kinds = rng.integers(0, most, len(keys)), rng.integers(0, 256, len(keys))
+            for got, want in zip(ngram_join._open(ngram_join._close(keys, owner, kinds)), (keys, owner, kinds)):
+                assert got.tolist() == want.tolist()
+            assert not len(ngram_join._open(ngram_join._close(keys, owner))[2])
+    assert len(ngram_join._close(cases[3].astype(np.uint64), rng.integers(0, 4096, 5000))) < 5000 * 6.5
+
+
+def test_what_a_join_shuffles_does_not_grow_with_the_buckets(spark, monkeypatch):
+    """As on a larger table, where each set has a gram or two in a bucket."""
+    rng = random.Random(12)
+    docs = []
+    for _ in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        docs += [" ".join(w), " ".join(w[:-20])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+    sc = spark._jsparkSession.sparkContext()
+
+    def shuffled() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    moved = []
+    for bucket in (10**9, len("".join(docs)) // 100):
+        monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+        before = shuffled()
+        got = ngram_join.ngram_jaccard_join(df).collect()
+        moved.append(shuffled() - before)
+        assert sorted((r.doc_id_a, r.doc_id_b) for r in got) == [(i, i + 1) for i in range(0, 600, 2)]
+    assert moved[1] < 1.6 * moved[0], moved
+
+
 def test_suffixes_of_one_hash_are_sorted_as_one(monkeypatch):
     """A passage in 500 texts, each with a word of its own at the end: the sort sees one suffix, not 1,000."""
     w = words([" ".join([*(f"c{k}" for k in range(50)), f"u{i}"]) for i in range(500)], lower=False)
