@@ -1,8 +1,10 @@
 """Line breaking: the same whatever else a batch holds."""
 
 import numpy as np
+import pyarrow as pa
 
-from quire.operators import layout
+from quire.functions import latex
+from quire.operators import layout, stats
 
 
 def test_lines_that_fit_exactly_in_a_large_batch():
@@ -14,3 +16,31 @@ def test_lines_that_fit_exactly_in_a_large_batch():
     width, size = np.full(len(texts), 240.0), np.full(len(texts), 9.0)
     _, bounds = layout.break_lines(texts, width, size, size * 0 + 1.35, size * 0 + 0.05)
     assert np.diff(bounds).reshape(-1, 3)[:, 1:].tolist() == [[1, 2]] * 400
+
+
+def _grid_batch(texts):
+    n = len(texts)
+    column = lambda x: pa.array([x] * n)
+    return (pa.array(texts), column([9.5, 10.0, 10.5]), column([0.015, 0.05, 0.085]), column([1.25, 1.35, 1.45]), *(column(x) for x in (240.0, 36.0, 32.4, 0.95, 10.5, 1.35, 0.05, 1.0, 0.0)))
+
+
+def test_styles_measure_a_formula_once(monkeypatch):
+    """The work on formulas doesn't grow with the number of styles tried."""
+    seen, normalize = [], latex.normalize
+    monkeypatch.setattr(latex, "normalize", lambda t: seen.append(t) or normalize(t))
+    texts = [f"as $x_{{{k}}} + once^2$ shows, $$ and $ $ too" for k in range(50)]
+    list(layout.best_styles.func(iter([_grid_batch(texts)])))
+    assert 0 < len(seen) <= 52
+
+
+def test_styles_of_a_batch_are_those_of_its_rows():
+    texts = ["", "a", "word " * 30, "中文" * 40, "see $\\frac{a}{b}$ and $x$ " * 6, "$ $", "two\nlines"] * 5
+    of = lambda ts: [x for b in layout.best_styles.func(iter([_grid_batch(ts)])) for x in b.to_pylist()]
+    assert of(texts) == [of([t])[0] for t in texts]
+
+
+def test_freezing_reads_its_rows_once(spark):
+    """The values may come from a costly step, such as the probe of styles."""
+    rows = spark.range(100).selectExpr("id % 7 as g", "id % 5 as v")
+    plan = stats.freeze_series(rows, ["g"], "v", 0.5, "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
