@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from quire.functions import latex
-from quire.operators import layout, stats
+from quire.operators import layout, reflow, stats
 
 
 def test_lines_that_fit_exactly_in_a_large_batch():
@@ -44,3 +44,23 @@ def test_freezing_reads_its_rows_once(spark):
     rows = spark.range(100).selectExpr("id % 7 as g", "id % 5 as v")
     plan = stats.freeze_series(rows, ["g"], "v", 0.5, "v")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Range (") == 1
+
+
+def _boxes(spark):
+    one = {"width": 240.0, "height": 24.0, "size": 10.0, "line": 1.3, "char": 0.05, "locked": False, "font_key": "body", "threshold": 0.9, "limit": 0.98, "global_min": 0.02, "global_max": 0.08, "max_delta": 0.035}
+    texts = ["a" * 3, "a b " * 40, "$x^2$ and " * 9, "", None, "a" * 39 + "b c"]
+    return spark.createDataFrame([{"doc_id": 1, "idx": k, "text": t, "mode": "single_col"} | one for k, t in enumerate(texts)] + [{"doc_id": 2, "idx": 0, "text": "no room", "mode": ""} | one | {"width": 0.0}])
+
+
+def test_tuning_moves_no_rows(spark):
+    """Candidates of a row are tried in it: nothing is exploded, grouped or shuffled."""
+    tuned = layout.micro_tune(_boxes(spark), ["doc_id", "idx"], allow_size=True)
+    plan = tuned._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    got = {(r.doc_id, r.idx): (r.status, r.overflow_px) for r in tuned.collect()}
+    assert len(got) == 7 and got[2, 0] == ("overflow", 0.0) and got[1, 1][0] == "overflow" and got[1, 1][1] > 20
+
+
+def test_rounds_judge_without_a_join(spark):
+    plan = reflow.evaluate(_boxes(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
