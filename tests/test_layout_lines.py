@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from quire.functions import latex
-from quire.operators import layout, reflow, stats
+from quire.operators import distribute, layout, reflow, stats
 
 
 def test_lines_that_fit_exactly_in_a_large_batch():
@@ -64,3 +64,12 @@ def test_tuning_moves_no_rows(spark):
 def test_rounds_judge_without_a_join(spark):
     plan = reflow.evaluate(_boxes(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_fit_lays_out_no_run_twice(monkeypatch):
+    """What is laid out grows with the text, not with the text times the ends that are tried."""
+    laid, settle = [0], distribute.settle
+    monkeypatch.setattr(distribute, "settle", lambda texts, *x: laid.__setitem__(0, laid[0] + sum(map(len, texts))) or settle(texts, *x))
+    text = "some words, and $x^2$ here. " * 300
+    pieces = distribute.fit(text, ["one.", "two"], [240.0, 240.0], [36.0, 36.0], 10.0, 1.35, 0.04)
+    assert "".join("".join(pieces).split()) == "".join(text.split()) and laid[0] <= 20 * len(text)
